@@ -6,7 +6,7 @@ import importlib
 
 from featlake.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["profiles"]
+FAMILIES = ["sources", "columns", "scalars", "joins", "profiles"]
 
 for _name in FAMILIES:
     importlib.import_module(f"featlake.plans.{_name}")

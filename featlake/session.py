@@ -49,3 +49,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path in the shared folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
