@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.operators.joins import enrich
-from featlake.operators.quantiles import column_medians, grouped_median, quantile_of_counts, value_counts_by
+from featlake.operators.quantiles import column_medians, grouped_median, grouped_quantile, value_counts_by
 from featlake.session import settle
 
 
@@ -50,14 +50,14 @@ def oof_table(df: DataFrame, key: str, target: str, fold: str, stat: str, out: s
 def _oof_median(df: DataFrame, key: str, target: str, fold: str, out: str) -> DataFrame:
     """Each distinct value keeps its count per fold; a fold sees the total less its own count."""
     counts = value_counts_by(df, [key, fold], target)
-    per_value = (counts.groupBy(key, target)
-                 .agg(F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(fold, "n"))).alias("_own")))
-    folds = df.where(F.col(fold).isNotNull()).select(fold).distinct()
-    ids = folds.agg(F.sort_array(F.collect_set(fold))).scalar()  # one entry per fold
+    per_value = settle(counts.groupBy(key, target).agg(
+        F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(fold, "n"))).alias("_own")))
+    # a fold without any known target has nothing to take away, so it needs no row of its own here
+    ids = per_value.select(F.explode(F.map_keys("_own")).alias("_f")).agg(F.sort_array(F.collect_set("_f"))).scalar()
     spread = (per_value.withColumn(fold, F.explode(ids))
               .withColumn("n", F.col("_all") - F.coalesce(F.try_element_at("_own", F.col(fold)), F.lit(0)))
               .where("n > 0"))
-    return quantile_of_counts(spread.select(key, fold, target, "n"), [key, fold], target, 0.5, out)
+    return grouped_quantile(spread, [key, fold], target, 0.5, out, weight="n")
 
 
 def target_encode_oof(df: DataFrame, key: str, target: str, fold: str, stat: str = "mean", out: str = "encoded",

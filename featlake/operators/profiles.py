@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.operators.quantiles import grouped_median, quantile_of_counts
+from featlake.operators.quantiles import grouped_median, grouped_quantile
 from featlake.session import settle
 
 
@@ -142,10 +142,7 @@ def stat_grid(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
                       F.lit(v).alias("value_name"), F.col(v).cast("double").alias("value"))
              for k in keys for v in values]
     long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    by = ["key_name", "key", "value_name"]
-    counts = (long.where(F.col("key").isNotNull() & F.col("value").isNotNull())
-              .groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
-    return counts.groupBy(*by).agg(F.sum("n").alias("n")).join(quantile_of_counts(counts, by, "value"), by)
+    return grouped_quantile(long, ["key_name", "key", "value_name"], "value", count="n")
 
 
 def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact grouped quantiles and prefix sums that never hold one group in one task.
 
-A group is first reduced to distinct values with counts (combined map-side), then cut into
-value buckets whose order follows the value order. The bucket totals of a group are few (their
-number depends on the spread of the values, not on the rows), so a window over them is cheap;
-rows are only sorted inside one bucket.
+A group is cut into value buckets whose order follows the value order. The bucket totals of a
+group are few (their number depends on the spread of the values, not on the rows) and combine
+map-side, so a window over them is cheap; distinct values are only sorted inside one bucket.
 """
 
 from __future__ import annotations
@@ -11,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.session import settle
+
 # Buckets per unit of ln(value): each spans about 0.025 % of the value.
 _RESOLUTION = 4096
 _ZERO_GAP = 800 * _RESOLUTION  # above |ln| of the smallest double, so the two signs cannot meet
 
 
 def value_bucket(value: Column) -> Column:
-    """Bucket number that never decreases as ``value`` (a finite double) grows."""
+    """Bucket number that never decreases as ``value`` (a finite double) grows.
+
+    Never null, so a join on it adds no filter to one of its sides and both sides can share one shuffle.
+    """
     v = value.cast("double")
     mag = F.floor(F.log(F.abs(v)) * _RESOLUTION) + F.lit(_ZERO_GAP)
-    return F.when(v == 0, F.lit(0)).when(v > 0, mag).otherwise(-mag).cast("bigint")
+    return F.coalesce(F.when(v > 0, mag).when(v < 0, -mag), F.lit(0)).cast("bigint")
 
 
 def value_counts_by(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -32,33 +36,45 @@ def value_counts_by(df: DataFrame, keys: list[str], value: str, weight: Column |
     return df.where(ok).groupBy(*keys, value).agg(n.alias("n"))
 
 
-def quantile_of_counts(counts: DataFrame, keys: list[str], value: str, q: float = 0.5, out: str = "median") -> DataFrame:
-    """Exact interpolated quantile per key of a (keys, value, n) table."""
-    cut = counts.withColumn("_b", value_bucket(F.col(value)))
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, out: str = "median",
+                     weight: str | None = None, count: str | None = None) -> DataFrame:
+    """Exact interpolated quantile of ``value`` per key, skipping nulls and NaN.
+
+    A first pass counts rows per (key, bucket), which shrinks map-side to a small table and tells
+    which one or two buckets of a key hold the quantile. That table is settled, so its measured
+    size decides how it meets the rows; a second pass keeps only the rows of those buckets and
+    sorts their distinct values. ``weight`` counts a row several times, ``count`` names an extra
+    column with the number of values.
+    """
+    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    cut = df.where(ok).select(*keys, F.col(value).cast("double").alias("_v"), value_bucket(F.col(value)).alias("_b"),
+                              (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"))
     grp = Window.partitionBy(*keys)
-    hist = (cut.groupBy(*keys, "_b").agg(F.sum("n").alias("_w"))
+    hist = (cut.groupBy(*keys, "_b").agg(F.sum("_n").alias("_w"))
             .withColumn("_all", F.sum("_w").over(grp))
             .withColumn("_upto", F.sum("_w").over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_pos", (F.col("_all") - 1) * F.lit(float(q)))
             .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
     start = F.col("_upto") - F.col("_w")
     holds = lambda r: (start <= F.col(r)) & (F.col(r) < F.col("_upto"))
-    picked = hist.where(holds("_lo") | holds("_hi")).select(
-        *keys, "_b", start.alias("_start"), "_pos", "_lo", "_hi")
-    inner = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    picked = settle(hist.where(holds("_lo") | holds("_hi")).select(*keys, "_b", start.alias("_start"), "_all", "_pos", "_lo", "_hi"))
+    info = ["_start", "_all", "_pos", "_lo", "_hi"]
+    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rows = (cut.join(picked, [*keys, "_b"])
-            .withColumn("_end", F.col("_start") + F.sum("n").over(inner))
-            .withColumn("_beg", F.col("_end") - F.col("n")))
-    at = lambda r: F.max(F.when((F.col("_beg") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col(value)))
-    return (rows.groupBy(*keys)
-            .agg(at("_lo").cast("double").alias("_vlo"), at("_hi").cast("double").alias("_vhi"),
-                 F.max(F.col("_pos") - F.col("_lo")).alias("_f"))
-            .select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out)))
-
-
-def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median", q: float = 0.5) -> DataFrame:
-    """Exact median (or quantile ``q``) of ``value`` per key, skipping nulls and NaN."""
-    return quantile_of_counts(value_counts_by(df, keys, value), keys, value, q, out)
+            .groupBy(*keys, "_b", "_v").agg(F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in info])
+            .withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
+            .withColumn("_beg", F.col("_end") - F.col("_n")))
+    at = lambda r: F.max(F.when((F.col("_beg") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_v")))
+    res = rows.groupBy(*keys).agg(at("_lo").alias("_vlo"), at("_hi").alias("_vhi"),
+                                  F.max(F.col("_pos") - F.col("_lo")).alias("_f"), F.max("_all").alias("_all"))
+    return res.select(*keys, *([F.col("_all").alias(count)] if count else []),
+                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out))
+
+
+def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    return grouped_quantile(df, keys, value, 0.5, out)
 
 
 def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
