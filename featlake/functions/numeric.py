@@ -97,7 +97,7 @@ def price_parity(col: Column) -> Column:
     """+1 / -1 for odd / even twentieths of the cluster's upper limit, 0 for a missing price."""
     cluster = price_cluster(col)
     upper = F.element_at(F.array(*[F.lit(float(c)) for c in [*PRICE_CUTS, PRICE_TOP]]), F.least(cluster, F.lit(7)))
-    bin_no = F.try_divide(col, upper / PRICE_BINS).cast("bigint") + 1
+    bin_no = F.try_divide(col, upper / PRICE_BINS).try_cast("bigint") + 1
     return F.when(cluster == 8, 0).when(bin_no % 2 == 0, -1).otherwise(1)
 
 
@@ -118,7 +118,7 @@ def hash_bucket(col: Column, n: int, salt: str = "") -> Column:
 
 def param_hash(price: Column, code: Column, width: float = 500.0) -> Column:
     """Price step times a category code."""
-    return (price / width).cast("int") * code
+    return (price / width).try_cast("int") * code
 
 
 def sigmoid(col: Column) -> Column:

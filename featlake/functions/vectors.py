@@ -19,12 +19,15 @@ def vector_moments(col: Column, prefix: str = "v") -> list[Column]:
     def power(mean, p):
         return lambda v: F.pow(v - mean, F.lit(p))
 
+    def share(v, total):
+        return F.coalesce(F.try_divide(v, total), F.lit(0.0))
+
     def moments(t):
         x, total, n = t["x"], t["total"], F.size(t["x"])
-        return bind(total / n, lambda mean: F.struct(
+        return bind(F.try_divide(total, n), lambda mean: F.struct(
             x.alias("x"), total.alias("total"), mean.alias("mean"),
-            *[(sum_of(x, power(mean, p)) / n).alias(f"m{p}") for p in (2, 3, 4)],
-            sum_of(x, lambda v: F.when(v > 0, v / total * F.log(v / total)).otherwise(0.0)).alias("plogp")))
+            *[F.try_divide(sum_of(x, power(mean, p)), n).alias(f"m{p}") for p in (2, 3, 4)],
+            sum_of(x, lambda v: F.when(v > 0, share(v, total) * F.log(share(v, total))).otherwise(0.0)).alias("plogp")))
 
     doubles = F.transform(col, lambda v: v.cast("double"))
     summed = bind(doubles, lambda x: F.struct(x.alias("x"), sum_of(x, lambda v: v).alias("total")))
@@ -33,7 +36,7 @@ def vector_moments(col: Column, prefix: str = "v") -> list[Column]:
             F.sqrt(s["m2"]).alias(f"{prefix}_std"), s["total"].alias(f"{prefix}_sum"),
             F.try_divide(s["m3"], F.pow(s["m2"], F.lit(1.5))).alias(f"{prefix}_skew"),
             (F.try_divide(s["m4"], s["m2"] * s["m2"]) - 3).alias(f"{prefix}_kurtosis"),
-            F.when((F.array_min(s["x"]) >= 0) & (s["total"] > 0), -s["plogp"]).alias(f"{prefix}_entropy")]
+            F.when((F.array_min(s["x"]) >= 0) & (s["total"] > 0), -s["plogp"] + 0.0).alias(f"{prefix}_entropy")]
 
 
 def pad_sequence(col: Column, n: int, side: str = "left", pad: int = 0) -> Column:

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.session import settle
 
 
-def enrich(df: DataFrame, dim: DataFrame, on: str | list[str], fill: dict | None = None) -> DataFrame:
+def enrich(df: DataFrame, dim: DataFrame, on: str | list[str], fill: dict | None = None, null_token: str | None = None) -> DataFrame:
     """Left join of a keyed feature table; rows without a match get null, or ``fill``.
 
     A computed ``dim`` is settled first: its measured size then decides between a broadcast and a
-    shuffle join, and a hot key on the fact side can be split.
+    shuffle join, and a hot key on the fact side can be split. ``null_token`` is the key under which
+    ``dim`` holds the rows without a key; by default such rows match nothing.
     """
     on = [on] if isinstance(on, str) else list(on)
-    out = df.join(settle(dim), on, "left")
+    dim = settle(dim)
+    if null_token is None:
+        out = df.join(dim, on, "left")
+    else:
+        keys = {c: f"_key_{c}" for c in on}
+        left = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit(null_token)) for c, k in keys.items()})
+        out = left.join(dim.withColumnsRenamed(keys), list(keys.values()), "left").drop(*keys.values())
     return out.fillna(fill) if fill else out
 
 
@@ -48,15 +55,11 @@ def join_all(frames: list[DataFrame], on: str | list[str], how: str = "left") ->
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows whose key is in ``keys`` (a semi-join, so repeated keys do no harm)."""
-    return df.join(keys, on, "left_semi")
+    """Rows whose key is in ``keys``; repeated keys are reduced map-side before they are joined."""
+    on = [on] if isinstance(on, str) else list(on)
+    return df.join(settle(keys.select(*on).distinct()), on, "left_semi")
 
 
 def assemble(blocks: list[DataFrame], key: str) -> DataFrame:
     """Put feature blocks side by side by key; row order plays no part."""
     return join_all(blocks, key, "inner")
-
-
-def null_safe_key(cols: list[str], token: str = "NAN") -> list[Column]:
-    """Key columns with null replaced by a token, for both sides of a join."""
-    return [F.coalesce(F.col(c).cast("string"), F.lit(token)).alias(c) for c in cols]

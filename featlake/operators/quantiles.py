@@ -23,7 +23,7 @@ def value_bucket(value: Column) -> Column:
     Never null, so a join on it adds no filter to one of its sides and both sides can share one shuffle.
     """
     v = value.cast("double")
-    mag = F.floor(F.log(F.abs(v)) * _RESOLUTION) + F.lit(_ZERO_GAP)
+    mag = F.floor(F.least(F.log(F.abs(v)), F.lit(710.0)) * _RESOLUTION) + F.lit(_ZERO_GAP)  # infinities share the last one
     return F.coalesce(F.when(v > 0, mag).when(v < 0, -mag), F.lit(0)).cast("bigint")
 
 
@@ -70,7 +70,8 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
     res = rows.groupBy(*keys).agg(at("_lo").alias("_vlo"), at("_hi").alias("_vhi"),
                                   F.max(F.col("_pos") - F.col("_lo")).alias("_f"), F.max("_all").alias("_all"))
     return res.select(*keys, *([F.col("_all").alias(count)] if count else []),
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out))
+                      F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo"))
+                      .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out))
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:

@@ -28,15 +28,17 @@ def d1_category_profile(spark, sf):
 
 
 @query("d1_category_profile_null_token", f"""
-WITH {V.ADS_SQL}
+WITH {V.ADS_SQL}, p AS (
 SELECT coalesce(param_1, 'NAN') AS param_1, count(*) AS "count", count(DISTINCT user_id) AS unique_user_count,
        round(median(price), 6) AS price_median, round(stddev_samp(price), 6) AS price_std, max(price) AS price_max,
        min(price) AS price_min, CAST(date_diff('day', min(activation_date), max(activation_date)) AS INT) AS diff,
        round(date_diff('day', min(activation_date), max(activation_date)) / count(*), 6) AS average_period
-FROM ads GROUP BY 1""")
+FROM ads GROUP BY 1)
+SELECT item_id, p.* REPLACE (ads.param_1 AS param_1) FROM ads JOIN p ON coalesce(ads.param_1, 'NAN') = p.param_1""")
 def d1_null_token(spark, sf):
-    a = V.ads(spark, sf, "param_1", "user_id", "price", "activation_date")
-    return round_doubles(P.category_profile(a, "param_1", "user_id", "price", "activation_date", null_token="NAN"))
+    a = V.ads(spark, sf, "item_id", "param_1", "user_id", "price", "activation_date")
+    prof = P.category_profile(a, "param_1", "user_id", "price", "activation_date", null_token="NAN")
+    return round_doubles(enrich(a.select("item_id", "param_1"), prof, "param_1", null_token="NAN"))
 
 
 _WEEKDAY_SQL = """

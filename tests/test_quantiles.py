@@ -44,7 +44,7 @@ def test_rank_shares_ties_and_keeps_all_rows(spark, data):
 
 
 def test_bucket_follows_value_order(spark):
-    vs = sorted([0.0, -0.0, 1e-300, -1e-300, 1.0, 1.0000001, -1.0, 2.5e17, -2.5e17, 5e-324, 1.7e308, -1.7e308])
+    vs = sorted([0.0, -0.0, 1e-300, -1e-300, 1.0, 1.0000001, -1.0, 2.5e17, -2.5e17, 5e-324, 1.7e308, -1.7e308, float('inf'), -float('inf')])
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, v double")
     got = [r.b for r in df.select("i", value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
     assert got == sorted(got)
