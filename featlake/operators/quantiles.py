@@ -14,16 +14,16 @@ from featlake.session import settle
 
 # Buckets per unit of ln(value): each spans about 0.025 % of the value.
 _RESOLUTION = 4096
-_ZERO_GAP = 800 * _RESOLUTION  # above |ln| of the smallest double, so the two signs cannot meet
+_ZERO_GAP = 800  # above |ln| of the smallest double, so the two signs cannot meet
 
 
-def value_bucket(value: Column) -> Column:
+def value_bucket(value: Column, resolution: int = _RESOLUTION) -> Column:
     """Bucket number that never decreases as ``value`` (a finite double) grows.
 
     Never null, so a join on it adds no filter to one of its sides and both sides can share one shuffle.
     """
     v = value.cast("double")
-    mag = F.floor(F.least(F.log(F.abs(v)), F.lit(710.0)) * _RESOLUTION) + F.lit(_ZERO_GAP)  # infinities share the last one
+    mag = F.floor(F.least(F.log(F.abs(v)), F.lit(710.0)) * resolution) + F.lit(_ZERO_GAP * resolution)  # infinities share the last one
     return F.coalesce(F.when(v > 0, mag).when(v < 0, -mag), F.lit(0)).cast("bigint")
 
 

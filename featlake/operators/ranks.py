@@ -102,5 +102,7 @@ def gauss_rank(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
 def build_vocab(df: DataFrame, token: str, n: int | None = None) -> DataFrame:
     """Tokens numbered from 1 by falling frequency, then by text; the first ``n`` of them."""
     counts = df.where(F.col(token).isNotNull()).groupBy(token).agg(F.count(F.lit(1)).alias("n"))
-    out = global_index(counts, [F.desc("n"), F.asc(token)], "_i").withColumn("id", F.col("_i") + 1).drop("_i")
-    return out if n is None else out.where(F.col("id") <= n)
+    order = [F.desc("n"), F.asc(token)]
+    if n is not None:
+        counts = counts.orderBy(*order).limit(n)
+    return global_index(counts, order, "_i").withColumn("id", F.col("_i") + 1).drop("_i")

@@ -37,12 +37,46 @@ def nearest_values(points: DataFrame, refs: DataFrame, x: str, v: str, by: list[
     return rows.select(*by, F.col("_x").alias(x), pick.alias(out)).where(F.col(out).isNotNull())
 
 
-def snap_nearest(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), out: str = "snapped") -> DataFrame:
-    """Add the closest reference value of the row's group; the raw value where the group has none."""
+# Most reference values that one bucket may hand to a row; denser references are sorted instead.
+MAX_CANDIDATES = 1000
+_SNAP_RESOLUTION = 32  # wide buckets, about 3 % of a value, keep the table of buckets small
+
+
+def _bucket_candidates(points: DataFrame, cells: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, _b, _c): for every bucket that a point falls into, the reference values among which its nearest is.
+
+    These are the values inside the bucket, the last one before it and the first one after it.
+    """
+    asked = points.where(F.col(x).isNotNull()).select(*by, value_bucket(F.col(x), _SNAP_RESOLUTION).alias("_b"), F.lit(True).alias("_asked")).distinct()
+    grp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    near = F.concat(F.array("_prev"), F.coalesce("_in", F.array().cast("array<double>")), F.array("_next"))
+    return (asked.join(cells, [*by, "_b"], "full_outer")
+            .withColumn("_prev", F.max(F.array_max("_in")).over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+            .withColumn("_next", F.min(F.array_min("_in")).over(grp.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
+            .where("_asked").select(*by, "_b", F.array_compact(near).alias("_c")))
+
+
+def snap_nearest(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), out: str = "snapped",
+                 max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+    """Add the closest reference value of the row's group; the raw value where the group has none.
+
+    While no bucket holds more than ``max_candidates`` distinct reference values (they are counted
+    first), rows meet a table of buckets, usually small enough to leave the rows unshuffled.
+    Otherwise :func:`nearest_values` looks up each distinct value by sorting; both are exact.
+    """
     by = list(by)
-    look = nearest_values(df, refs, col, ref_col, by, "_near")
-    return (df.join(settle(look), [*by, col], "left")
-            .withColumn(out, F.coalesce("_near", col)).drop("_near"))
+    known = refs.dropna(subset=[*by, ref_col]).select(*by, F.col(ref_col).cast("double").alias("_v"))
+    known = settle(known.distinct().withColumn("_b", value_bucket(F.col("_v"), _SNAP_RESOLUTION)))
+    densest = known.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if densest > max_candidates:
+        look = nearest_values(df, known, col, "_v", by, "_near")
+        return df.join(settle(look), [*by, col], "left").withColumn(out, F.coalesce("_near", col)).drop("_near")
+    cells = known.groupBy(*by, "_b").agg(F.collect_list("_v").alias("_in"))
+    table = settle(_bucket_candidates(df, cells, col, by))
+    x = F.col(col).cast("double")
+    best = F.array_min(F.transform("_c", lambda t: F.struct(F.abs(x - t).alias("d"), t.alias("t"))))["t"]
+    return (df.withColumn("_b", value_bucket(F.col(col), _SNAP_RESOLUTION)).join(table, [*by, "_b"], "left")
+            .withColumn(out, F.when(x.isNotNull(), F.coalesce(best, x))).drop("_b", "_c"))
 
 
 def snap_and_mix(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), weight: float = 0.4,
