@@ -98,7 +98,16 @@ def downcast(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
-def keyword_flags(df: DataFrame, col: str, words: dict[str, str]) -> DataFrame:
+# Substrings whose presence in a description is flagged.
+DESCRIPTION_KEYWORDS = {
+    "is_in_desc_хорошо": "хорошо", "is_in_desc_Плохо": "Плохо", "is_in_desc_новый": "новый", "is_in_desc_старый": "старый",
+    "is_in_desc_используемый": "используемый", "is_in_desc_есплатная_доставка": "есплатная доставка",
+    "is_in_desc_есплатный_возврат": "есплатный возврат", "is_in_desc_идеально": "идеально",
+    "is_in_desc_подержанный": "подержанный", "is_in_desc_пСниженные_цены": "Сниженные цены",
+}
+
+
+def keyword_flags(df: DataFrame, col: str, words: dict[str, str] = DESCRIPTION_KEYWORDS) -> DataFrame:
     """0/1 flag per keyword (name -> substring); case counts, null text counts as empty."""
     text = F.coalesce(F.col(col), F.lit(""))
     return df.select("*", *[F.contains(text, F.lit(w)).cast("int").alias(n) for n, w in words.items()])

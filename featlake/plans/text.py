@@ -102,14 +102,14 @@ def x7(spark, sf):
 
 @query("x8_text_stats", f"""
 WITH w AS (SELECT doc_id, text, {sql_words('text')} AS w FROM documents)
-SELECT doc_id, length(text) AS text_num_chars, len(w) AS text_num_words, len(list_distinct(w)) AS text_num_unique_words,
+SELECT doc_id, CAST(length(text) AS INT) AS text_num_chars, CAST(len(w) AS INT) AS text_num_words, CAST(len(list_distinct(w)) AS INT) AS text_num_unique_words,
        round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) * 100 END, 6) AS text_words_vs_unique FROM w""")
 def x8(spark, sf):
     return round_doubles(_docs(spark, sf).select("doc_id", *T.text_stats(F.col("text"), "text")))
 
 
 def _n(p):
-    return f"len(regexp_extract_all(text, {q(p)}))"
+    return f"CAST(len(regexp_extract_all(text, {q(p)})) AS INT)"
 
 
 @query("x9_case_stats", f"""
@@ -128,8 +128,8 @@ def x10(spark, sf):
 
 
 @query("x11_stopword_count", f"""
-SELECT doc_id, len(list_filter({sql_words('lower(text)')}, lambda w: list_contains({_STOP_SQL}, w))) AS n_stop,
-       len(regexp_extract_all(lower(text), '[aeiou]')) AS n_char_stop FROM documents""")
+SELECT doc_id, CAST(len(list_filter({sql_words('lower(text)')}, lambda w: list_contains({_STOP_SQL}, w))) AS INT) AS n_stop,
+       CAST(len(regexp_extract_all(lower(text), '[aeiou]')) AS INT) AS n_char_stop FROM documents""")
 def x11(spark, sf):
     low = F.lower("text")
     return _docs(spark, sf).select("doc_id", T.stopword_count(low, STOP).alias("n_stop"),
@@ -153,7 +153,7 @@ def x13(spark, sf):
 
 
 @query("x14_tokenize", "SELECT doc_id, " + ", ".join(
-    f"array_to_string(regexp_extract_all(text, {q(p)}), '|') AS {n}, len(regexp_extract_all(text, {q(p)})) AS n_{n}"
+    f"array_to_string(regexp_extract_all(text, {q(p)}), '|') AS {n}, CAST(len(regexp_extract_all(text, {q(p)})) AS INT) AS n_{n}"
     for n, p in (("word", T.WORD), ("no_punct", T.WORD_NO_PUNCT), ("word_punct", T.WORD_OR_PUNCT))) + " FROM documents")
 def x14(spark, sf):
     kinds = ["word", "no_punct", "word_punct"]

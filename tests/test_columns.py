@@ -52,6 +52,12 @@ def test_null_handling(spark, rows):
     assert all(abs(r.b - r.x) < 1e-9 for r in back.collect())
 
 
+def test_keyword_flags(spark):
+    df = spark.createDataFrame([("почти новый, бесплатная доставка",), ("Новый",), (None,)], "t string")
+    got = C.keyword_flags(df, "t").collect()
+    assert [r["is_in_desc_новый"] for r in got] == [1, 0, 0] and [r["is_in_desc_есплатная_доставка"] for r in got] == [1, 0, 0]
+
+
 def test_selecting_by_name(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a_labelencod int, oof_b int, c int")
     assert C.prune_pattern(df, ["_labelencod", "oof_"]).columns == ["c"]
