@@ -30,7 +30,7 @@ def shingles(df: DataFrame, size: int) -> DataFrame:
 
 def in_blocks(grams: DataFrame) -> list[DataFrame]:
     """A table of hashes in broadcast parts of bounded size."""
-    parts = -(-grams.count() // BLOCK)
+    parts = max(1, -(-grams.count() // BLOCK))
     return [F.broadcast(grams.where(F.pmod("gram", F.lit(parts)) == p)) for p in range(parts)]
 
 

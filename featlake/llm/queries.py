@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featlake.llm import decontaminate, simhash
 from featlake.llm.common import table
 from featlake.llm.substring import remove_repeated_words
 from featlake.llm.suffixes import remove_repeated_bytes
@@ -25,11 +26,40 @@ def query(name: str, sql: str | None = None):
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark, sf_dir):
     cut = remove_repeated_words(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return cut.select("row.doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("row.doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     cut = remove_repeated_bytes(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return cut.select("row.doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{WORD}') AS w FROM documents),
+     i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{WORD}') AS w FROM benchmark),
+     win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, w[s:s + least(10, len(w)) - 1] AS k
+             FROM i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(s) WHERE len(w) > 0),
+     spot AS (SELECT doc_id, n, s, w[s:s + n - 1] AS k FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(s)),
+     hit AS (SELECT DISTINCT doc_id, s, win.n, item_id FROM spot JOIN win USING (k)),
+     words AS (SELECT doc_id, count(DISTINCT s + o) AS n_hit FROM hit, unnest(range(0, n)) AS t(o) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query("op1_decontaminate", OP1)
+def op1_decontaminate(spark, sf_dir):
+    rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
