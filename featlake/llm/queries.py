@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from featlake.llm import decontaminate, simhash
 from featlake.llm.common import table
+from featlake.llm.quality import quality
 from featlake.llm.substring import remove_repeated_words
 from featlake.llm.suffixes import remove_repeated_bytes
+from featlake.llm.toxicity import CHAIN, toxicity
 
 LLM_QUERIES = {}
 LLM_ORACLES = {}
@@ -63,3 +65,14 @@ def op1_decontaminate(spark, sf_dir):
 def op2_simhash(spark, sf_dir):
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", *[f"p_{c}" for c in CHAIN], "toxic")
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
