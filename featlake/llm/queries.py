@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, simhash
+from featlake.llm import decontaminate, simhash, urls, warc
 from featlake.llm.common import table
 from featlake.llm.quality import quality
 from featlake.llm.substring import remove_repeated_words
 from featlake.llm.suffixes import remove_repeated_bytes
 from featlake.llm.toxicity import CHAIN, toxicity
+from featlake.session import scratch_path
 
 LLM_QUERIES = {}
 LLM_ORACLES = {}
@@ -76,3 +77,34 @@ def op4_toxicity(spark, sf_dir):
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP6 = f"""
+WITH made AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                     || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+                     || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+     files AS (SELECT greatest(1, ceil(sum(strlen(record)) / {warc.FILE_BYTES}))::BIGINT AS n FROM made),
+     leaf AS (SELECT page_id, record, strlen(record) AS length, sha256(record) AS digest,
+                     ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT n FROM files) AS file,
+                     ('0x' || substr(md5('damage' || page_id::VARCHAR), 1, 8))::BIGINT % 200 AS k FROM made),
+     placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM leaf)
+SELECT file, "offset", page_id, CASE k WHEN 0 THEN 'changed' ELSE 'missing' END AS fault, digest AS digest_a,
+       CASE k WHEN 0 THEN sha256('X' || substr(record, 2)) END AS digest_b
+FROM placed WHERE k IN (0, 1)"""
+
+
+@query("op6_warc_fixity", OP6)
+def op6_warc_fixity(spark, sf_dir):
+    """A replica written to the shared folder, of which some records are damaged and some lost, against the source."""
+    made = warc.records(table(spark, sf_dir, "pages"))
+    k = warc.hashed(F.concat(F.lit("damage"), F.col("page_id").cast("string")), 200)
+    stored = warc.placed(made.withColumn("digest", F.sha2("record", 256))).drop("digest")
+    damaged = F.when(k == 0, F.concat(F.lit("X"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    path = scratch_path(spark, "replica")
+    stored.where(F.coalesce(k, F.lit(-1)) != 1).withColumn("record", damaged).write.parquet(path)
+    return warc.audit(warc.leaves(made), warc.leaves(spark.read.parquet(path)))
+
+
+@query("op9_url_filter")
+def op9_url_filter(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages"))
