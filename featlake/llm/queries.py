@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, simhash, urls, warc
+from featlake.llm import decontaminate, embeddings, simhash, urls, warc
 from featlake.llm.common import table
 from featlake.llm.pieces import BLANK, decode, encode
 from featlake.llm.quality import quality
@@ -118,3 +118,8 @@ def op7_sentencepiece(spark, sf_dir):
     shown = decode(encoded.select("row", "ids", F.char_length("text").cast("long").alias("n_chars"), plain.alias("plain")))
     return shown.select("row.doc_id", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"),
                         (F.xxhash64("decoded") == F.col("plain")).alias("round_trip"))
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
