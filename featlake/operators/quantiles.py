@@ -1,8 +1,8 @@
 """Exact grouped quantiles and prefix sums that never hold one group in one task.
 
-A group is cut into value buckets whose order follows the value order. The bucket totals of a
-group are few (their number depends on the spread of the values, not on the rows) and combine
-map-side, so a window over them is cheap; distinct values are only sorted inside one bucket.
+Rows are first reduced to distinct (keys, value) with their counts, which combines map-side. Those are sorted by Spark's
+range partitioning, so a key with many values spans several partitions wherever its values lie; a table with one line
+per partition and key then supplies what comes before.
 """
 
 from __future__ import annotations
@@ -12,20 +12,6 @@ from pyspark.sql import functions as F
 
 from featlake.session import settle
 
-# Buckets per unit of ln(value): each spans about 0.025 % of the value.
-_RESOLUTION = 4096
-_ZERO_GAP = 800  # above |ln| of the smallest double, so the two signs cannot meet
-
-
-def value_bucket(value: Column, resolution: int = _RESOLUTION) -> Column:
-    """Bucket number that never decreases as ``value`` (a finite double) grows.
-
-    Never null, so a join on it adds no filter to one of its sides and both sides can share one shuffle.
-    """
-    v = value.cast("double")
-    mag = F.floor(F.least(F.log(F.abs(v)), F.lit(710.0)) * resolution) + F.lit(_ZERO_GAP * resolution)  # infinities share the last one
-    return F.coalesce(F.when(v > 0, mag).when(v < 0, -mag), F.lit(0)).cast("bigint")
-
 
 def value_counts_by(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct (keys, value) with row count ``n``; null keys, null and NaN values are left out."""
@@ -36,42 +22,43 @@ def value_counts_by(df: DataFrame, keys: list[str], value: str, weight: Column |
     return df.where(ok).groupBy(*keys, value).agg(n.alias("n"))
 
 
+def ordered_parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The rows settled in ``order`` with their range partition ``_part``, which rises with the order."""
+    return settle(df.sort(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def prefix_sums(counts: DataFrame, keys: list[str], value: str, weight: str = "n", out: str = "before",
+                descending: bool = False, total: str | None = None) -> DataFrame:
+    """``out`` = sum of ``weight`` over the rows of the same key that come strictly earlier in value order.
+
+    ``counts`` holds each (keys, value) once. ``total`` names an extra column with the key's whole sum.
+    """
+    flip = F.desc if descending else F.asc
+    parts = ordered_parts(counts, [*keys, flip(value)])
+    grp = Window.partitionBy(*keys)
+    offsets = (parts.groupBy(*keys, "_part").agg(F.sum(weight).alias("_w"))
+               .withColumn("_off", F.coalesce(F.sum("_w").over(grp.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .withColumn("_all", F.sum("_w").over(grp)).drop("_w"))
+    inner = Window.partitionBy(*keys, "_part").orderBy(flip(value)).rowsBetween(Window.unboundedPreceding, -1)
+    res = parts.withColumn(out, F.coalesce(F.sum(weight).over(inner), F.lit(0))).join(offsets, [*keys, "_part"])
+    return res.select(*counts.columns, (F.col("_off") + F.col(out)).alias(out), *([F.col("_all").alias(total)] if total else []))
+
+
 def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, out: str = "median",
                      weight: str | None = None, count: str | None = None) -> DataFrame:
     """Exact interpolated quantile of ``value`` per key, skipping nulls and NaN.
 
-    A first pass counts rows per (key, bucket), which shrinks map-side to a small table and tells
-    which one or two buckets of a key hold the quantile. That table is settled, so its measured
-    size decides how it meets the rows; a second pass keeps only the rows of those buckets and
-    sorts their distinct values. ``weight`` counts a row several times, ``count`` names an extra
-    column with the number of values.
+    ``weight`` counts a row several times, ``count`` names an extra column with the number of values.
     """
-    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    for k in keys:
-        ok = ok & F.col(k).isNotNull()
-    cut = df.where(ok).select(*keys, F.col(value).cast("double").alias("_v"), value_bucket(F.col(value)).alias("_b"),
-                              (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"))
-    grp = Window.partitionBy(*keys)
-    hist = (cut.groupBy(*keys, "_b").agg(F.sum("_n").alias("_w"))
-            .withColumn("_all", F.sum("_w").over(grp))
-            .withColumn("_upto", F.sum("_w").over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_pos", (F.col("_all") - 1) * F.lit(float(q)))
-            .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    start = F.col("_upto") - F.col("_w")
-    holds = lambda r: (start <= F.col(r)) & (F.col(r) < F.col("_upto"))
-    picked = settle(hist.where(holds("_lo") | holds("_hi")).select(*keys, "_b", start.alias("_start"), "_all", "_pos", "_lo", "_hi"))
-    info = ["_start", "_all", "_pos", "_lo", "_hi"]
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (cut.join(picked, [*keys, "_b"])
-            .groupBy(*keys, "_b", "_v").agg(F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in info])
-            .withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
-            .withColumn("_beg", F.col("_end") - F.col("_n")))
-    at = lambda r: F.max(F.when((F.col("_beg") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_v")))
-    res = rows.groupBy(*keys).agg(at("_lo").alias("_vlo"), at("_hi").alias("_vhi"),
-                                  F.max(F.col("_pos") - F.col("_lo")).alias("_f"), F.max("_all").alias("_all"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"))
+    counts = value_counts_by(rows, keys, "_v", F.col("_n"))
+    ranked = prefix_sums(counts, keys, "_v", out="_beg", total="_all")
+    pos = (F.col("_all") - 1) * F.lit(float(q))
+    at = lambda r: F.max(F.when((F.col("_beg") <= r) & (r < F.col("_beg") + F.col("n")), F.col("_v")))
+    res = ranked.groupBy(*keys).agg(at(F.floor(pos)).alias("_lo"), at(F.ceil(pos)).alias("_hi"), F.max(pos - F.floor(pos)).alias("_f"), F.max("_all").alias("_all"))
     return res.select(*keys, *([F.col("_all").alias(count)] if count else []),
-                      F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo"))
-                      .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out))
+                      F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+                      .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -84,20 +71,3 @@ def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("s")).select("s.*")
     med = grouped_median(long, ["_c"], "_v", "_m")
     return med.agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(c) for c in cols])
-
-
-def prefix_sums(counts: DataFrame, keys: list[str], value: str, weight: str = "n", out: str = "before",
-                descending: bool = False) -> DataFrame:
-    """``out`` = sum of ``weight`` over the rows of the same key that come strictly earlier in value order.
-
-    ``counts`` holds each (keys, value) once.
-    """
-    flip = F.desc if descending else F.asc
-    cut = counts.withColumn("_b", value_bucket(F.col(value)))
-    ahead = Window.partitionBy(*keys).orderBy(flip("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    hist = (cut.groupBy(*keys, "_b").agg(F.sum(weight).alias("_w"))
-            .withColumn("_off", F.coalesce(F.sum("_w").over(ahead), F.lit(0))).drop("_w"))
-    inner = Window.partitionBy(*keys, "_b").orderBy(flip(value)).rowsBetween(Window.unboundedPreceding, -1)
-    return (cut.join(hist, [*keys, "_b"])
-            .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-            .drop("_b", "_off"))

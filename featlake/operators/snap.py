@@ -5,78 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.operators.quantiles import value_bucket
+from featlake.operators.quantiles import ordered_parts
 from featlake.session import settle
 
 
 def nearest_values(points: DataFrame, refs: DataFrame, x: str, v: str, by: list[str] = (), out: str = "nearest") -> DataFrame:
     """For each distinct (by, x) the closest ``v`` of the same group; on a tie the smaller one.
 
-    Both sides are reduced to distinct values and cut into value buckets. Inside a bucket a sort
-    finds the neighbours; a small table of bucket limits supplies the ones further away. Groups
-    without any reference value do not appear.
+    Both sides are reduced to distinct values and sorted into range partitions. Inside a partition a window finds the
+    neighbours; a table with one line per partition and group supplies the ones further away. Groups without any
+    reference value do not appear, nor do missing and NaN values.
     """
     by = list(by)
-    pts = points.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.lit(None).cast("double").alias("_v"))
-    ref = refs.where(F.col(v).isNotNull()).select(*by, F.col(v).cast("double").alias("_x"), F.col(v).cast("double").alias("_v"))
+    known = lambda df, c: df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    pts = known(points, x).select(*by, F.col(x).cast("double").alias("_x"), F.lit(None).cast("double").alias("_v"))
+    ref = known(refs, v).select(*by, F.col(v).cast("double").alias("_x"), F.col(v).cast("double").alias("_v"))
     both = (pts.unionByName(ref).dropna(subset=by) if by else pts.unionByName(ref)).groupBy(*by, "_x").agg(
-        F.max("_v").alias("_v"), F.max(F.col("_v").isNull()).alias("_asked")).withColumn("_b", value_bucket(F.col("_x")))
+        F.max("_v").alias("_v"), F.max(F.col("_v").isNull()).alias("_asked"))
+    parts = ordered_parts(both, [*by, "_x"])
     grp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    edges = (both.groupBy(*by, "_b").agg(F.max("_v").alias("_top"), F.min("_v").alias("_low"))
-             .withColumn("_prev", F.max("_top").over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-             .withColumn("_next", F.min("_low").over(grp.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
-             .select(*by, "_b", "_prev", "_next"))
-    cell = Window.partitionBy(*by, "_b")
+    edges = (parts.groupBy(*by, "_part").agg(F.max("_v").alias("_top"), F.min("_v").alias("_low"))
+             .withColumn("_prev", F.max("_top").over(grp.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("_next", F.min("_low").over(grp.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)))
+             .select(*by, "_part", "_prev", "_next"))
+    cell = Window.partitionBy(*by, "_part")
     upto = lambda o: cell.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (both.withColumn("_below", F.max("_v").over(upto(F.asc("_x"))))
+    rows = (parts.withColumn("_below", F.max("_v").over(upto(F.asc("_x"))))
             .withColumn("_above", F.min("_v").over(upto(F.desc("_x"))))
-            .where("_asked").join(edges, [*by, "_b"]))
+            .where("_asked").join(edges, [*by, "_part"]))
     below, above = F.coalesce("_below", "_prev"), F.coalesce("_above", "_next")
     pick = (F.when(below.isNull(), above).when(above.isNull(), below)
             .when(F.abs(F.col("_x") - below) <= F.abs(F.col("_x") - above), below).otherwise(above))
     return rows.select(*by, F.col("_x").alias(x), pick.alias(out)).where(F.col(out).isNotNull())
 
 
-# Most reference values that one bucket may hand to a row; denser references are sorted instead.
-MAX_CANDIDATES = 1000
-_SNAP_RESOLUTION = 32  # wide buckets, about 3 % of a value, keep the table of buckets small
-
-
-def _bucket_candidates(points: DataFrame, cells: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """(by, _b, _c): for every bucket that a point falls into, the reference values among which its nearest is.
-
-    These are the values inside the bucket, the last one before it and the first one after it.
-    """
-    asked = points.where(F.col(x).isNotNull()).select(*by, value_bucket(F.col(x), _SNAP_RESOLUTION).alias("_b"), F.lit(True).alias("_asked")).distinct()
-    grp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    near = F.concat(F.array("_prev"), F.coalesce("_in", F.array().cast("array<double>")), F.array("_next"))
-    return (asked.join(cells, [*by, "_b"], "full_outer")
-            .withColumn("_prev", F.max(F.array_max("_in")).over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("_next", F.min(F.array_min("_in")).over(grp.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
-            .where("_asked").select(*by, "_b", F.array_compact(near).alias("_c")))
-
-
-def snap_nearest(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), out: str = "snapped",
-                 max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Add the closest reference value of the row's group; the raw value where the group has none.
-
-    While no bucket holds more than ``max_candidates`` distinct reference values (they are counted
-    first), rows meet a table of buckets, usually small enough to leave the rows unshuffled.
-    Otherwise :func:`nearest_values` looks up each distinct value by sorting; both are exact.
-    """
+def snap_nearest(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), out: str = "snapped") -> DataFrame:
+    """Add the closest reference value of the row's group; the raw value where the group has none, and for NaN."""
     by = list(by)
-    known = refs.dropna(subset=[*by, ref_col]).select(*by, F.col(ref_col).cast("double").alias("_v"))
-    known = settle(known.distinct().withColumn("_b", value_bucket(F.col("_v"), _SNAP_RESOLUTION)))
-    densest = known.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if densest > max_candidates:
-        look = nearest_values(df, known, col, "_v", by, "_near")
-        return df.join(settle(look), [*by, col], "left").withColumn(out, F.coalesce("_near", col)).drop("_near")
-    cells = known.groupBy(*by, "_b").agg(F.collect_list("_v").alias("_in"))
-    table = settle(_bucket_candidates(df, cells, col, by))
-    x = F.col(col).cast("double")
-    best = F.array_min(F.transform("_c", lambda t: F.struct(F.abs(x - t).alias("d"), t.alias("t"))))["t"]
-    return (df.withColumn("_b", value_bucket(F.col(col), _SNAP_RESOLUTION)).join(table, [*by, "_b"], "left")
-            .withColumn(out, F.when(x.isNotNull(), F.coalesce(best, x))).drop("_b", "_c"))
+    distinct = refs.select(*by, F.col(ref_col).cast("double").alias("_v")).distinct()
+    look = settle(nearest_values(df, distinct, col, "_v", by, "_near").withColumnRenamed(col, "_x"))
+    met = df.withColumn("_x", F.col(col).cast("double")).join(look, [*by, "_x"], "left")
+    return met.select(*[F.col(c) for c in df.columns], F.coalesce("_near", "_x").alias(out))
 
 
 def snap_and_mix(df: DataFrame, col: str, refs: DataFrame, ref_col: str, by: list[str] = (), weight: float = 0.4,

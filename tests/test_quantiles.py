@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from featlake.operators.ordering import cumulative, global_index
-from featlake.operators.quantiles import grouped_median, grouped_quantile, prefix_sums, value_bucket, value_counts_by
+from featlake.operators.quantiles import grouped_median, grouped_quantile, ordered_parts, prefix_sums, value_counts_by
 from featlake.operators.ranks import rank_avg
 
 slow = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -43,11 +43,14 @@ def test_rank_shares_ties_and_keeps_all_rows(spark, data):
         assert got[i] == above + (same + 1) / 2
 
 
-def test_bucket_follows_value_order(spark):
-    vs = sorted([0.0, -0.0, 1e-300, -1e-300, 1.0, 1.0000001, -1.0, 2.5e17, -2.5e17, 5e-324, 1.7e308, -1.7e308, float('inf'), -float('inf')])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, v double")
-    got = [r.b for r in df.select("i", value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert got == sorted(got)
+def test_close_values_of_one_group_span_partitions(spark):
+    """A million seconds of one day, in one group, are sorted by several tasks."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") / 10 + 1.7e9).alias("v"))
+    parts = ordered_parts(value_counts_by(df, ["k"], "v"), ["k", "v"])
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < n
+    assert grouped_median(df, ["k"], "v").first().median == 1.7e9 + (n - 1) / 20
 
 
 def test_quantile_skips_nan_and_null_and_weighs(spark, rows):
