@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clip(col: Column, lo: float, hi: float) -> Column:
-    """Limit to [lo, hi]; null stays null."""
-    return F.when(col.isNotNull(), F.greatest(F.least(col, F.lit(hi)), F.lit(lo)))
+    """Limit to [lo, hi]; null stays null and NaN stays NaN."""
+    return F.when(F.isnan(col.cast("double")), col).when(col.isNotNull(), F.greatest(F.least(col, F.lit(hi)), F.lit(lo)))
 
 
 def binarise(col: Column, op: str, threshold: float) -> Column:

@@ -94,7 +94,7 @@ def apply_rules(col: Column, rules: list[tuple[str, str]] = BRAND_RULES) -> Colu
 def split_scripts(col: Column) -> Column:
     """A blank wherever a character below code point 256 meets one above."""
     t = F.regexp_replace(col, r"([\x{0}-\x{ff}])([^\x{0}-\x{ff}])", "$1 $2")
-    return F.regexp_replace(t, r"([^\x{0}-\x{ff}])([\x{0}-\x1f!-\x{ff}])", "$1 $2")
+    return F.regexp_replace(t, r"([^\x{0}-\x{ff}])([\x{0}-\x{ff}])", "$1 $2")
 
 
 def join_text(cols: list[Column], fill: str = "") -> Column:

@@ -24,15 +24,25 @@ def target_encode(df: DataFrame, key: str, target: str, stat: str = "median", tr
 
 
 def _other_folds(df: DataFrame, key: str, target: str, fold: str) -> DataFrame:
-    """Row count, sum and squares of the target per (key, fold) over the other folds of the key.
+    """Count, mean and sum of squared distances from it (``n``, ``m``, ``d``) of the target per (key, fold) over the other folds of the key.
 
-    The window sees one row per fold of a key, whatever the size of the key.
+    Every fold that occurs with a key has a row, also one whose targets are all missing. Folds are merged by their means
+    and centred sums, which keeps the digits of large values. A key has one small array with an entry per fold.
     """
-    part = (df.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(key, fold)
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("double")).alias("s"),
-                 F.sum(F.col(target).cast("double") * F.col(target)).alias("ss")))
-    w = Window.partitionBy(key)
-    return part.select(key, fold, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in ("n", "s", "ss")])
+    t = F.col(target).cast("double")
+    part = df.where(F.col(key).isNotNull()).groupBy(key, fold).agg(
+        F.count(t).alias("n"), F.coalesce(F.avg(t), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(t) * F.count(t), F.lit(0.0)).alias("d"))
+    every = part.groupBy(key).agg(F.collect_list(F.struct(fold, "n", "m", "d")).alias("_folds"))
+
+    def merge(acc, f):
+        n, gap = acc["n"] + f["n"], f["m"] - acc["m"]
+        share = F.coalesce(F.try_divide(f["n"].cast("double"), n), F.lit(0.0))
+        return F.struct(n.alias("n"), (acc["m"] + gap * share).alias("m"), (acc["d"] + f["d"] + gap * gap * acc["n"] * share).alias("d"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+    spread = every.select(key, "_folds", F.explode(F.transform("_folds", lambda f: f[fold])).alias(fold))
+    others = F.filter("_folds", lambda f: ~f[fold].eqNullSafe(F.col(fold)))
+    return spread.select(key, fold, F.aggregate(others, zero, merge).alias("_o")).select(key, fold, "_o.n", "_o.m", "_o.d")
 
 
 def oof_table(df: DataFrame, key: str, target: str, fold: str, stat: str, out: str) -> DataFrame:
@@ -40,11 +50,9 @@ def oof_table(df: DataFrame, key: str, target: str, fold: str, stat: str, out: s
     if stat == "median":
         return _oof_median(df, key, target, fold, out)
     o = _other_folds(df, key, target, fold)
-    mean = F.try_divide(F.col("s"), F.col("n"))
     if stat == "mean":
-        return o.select(key, fold, F.when(F.col("n") > 0, mean).alias(out))
-    var = (F.col("ss") - F.col("s") * mean) / (F.col("n") - 1)
-    return o.select(key, fold, F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias(out))
+        return o.select(key, fold, F.when(F.col("n") > 0, F.col("m")).alias(out))
+    return o.select(key, fold, F.when(F.col("n") > 1, F.sqrt(F.col("d") / (F.col("n") - 1))).alias(out))
 
 
 def _oof_median(df: DataFrame, key: str, target: str, fold: str, out: str) -> DataFrame:
@@ -52,8 +60,8 @@ def _oof_median(df: DataFrame, key: str, target: str, fold: str, out: str) -> Da
     counts = value_counts_by(df, [key, fold], target)
     per_value = settle(counts.groupBy(key, target).agg(
         F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(fold, "n"))).alias("_own")))
-    # a fold without any known target has nothing to take away, so it needs no row of its own here
-    ids = per_value.select(F.explode(F.map_keys("_own")).alias("_f")).agg(F.sort_array(F.collect_set("_f"))).scalar()
+    # every fold of the table, so that one without a known target of a key still sees the key's other folds
+    ids = df.where(F.col(fold).isNotNull()).agg(F.sort_array(F.collect_set(fold))).scalar()
     spread = (per_value.withColumn(fold, F.explode(ids))
               .withColumn("n", F.col("_all") - F.coalesce(F.try_element_at("_own", F.col(fold)), F.lit(0)))
               .where("n > 0"))
@@ -95,8 +103,8 @@ def count_encode(df: DataFrame, keys: list[str], train: DataFrame | None = None,
     """Frequency of each key value among the training rows."""
     counts = settle(key_counts(df if train is None else train, keys))
     out = df
-    for k in keys:
-        dim = counts.where(F.col("key_name") == k).select(F.col("key").alias("_k"), F.col("n").alias(f"{prefix}{k}"))
+    for k in keys:  # a dictionary of its own for each key, so that its own size decides how it is joined
+        dim = settle(counts.where(F.col("key_name") == k).select(F.col("key").alias("_k"), F.col("n").alias(f"{prefix}{k}")))
         out = out.withColumn("_k", F.col(k).cast("string")).join(dim, "_k", "left").drop("_k")
     return out
 

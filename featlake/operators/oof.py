@@ -67,17 +67,17 @@ def linear_score(cols: list[str], model: np.ndarray) -> Column:
 
 def ridge_oof(df: DataFrame, cols: list[str], y: str, fold: str, alpha: float = 20.0, out: str = "prediction",
               test: DataFrame | None = None, bounds: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
-    """Out-of-fold ridge predictions; ``test`` rows get the mean of the fold models.
+    """Out-of-fold ridge predictions; ``test`` rows, and rows without a fold, get the mean of the fold models.
 
     A row with a missing feature gets a null prediction.
     """
     models = ridge_models(df, cols, y, fold, alpha)
     lim = (lambda c: clip(c, *bounds)) if bounds else (lambda c: c)
-    own = reduce(lambda acc, f: acc.when(F.col(fold) == f, lim(linear_score(cols, models[f]))), models, F.when(F.lit(False), F.lit(None).cast("double")))
+    mean = reduce(lambda a, b: a + b, [lim(linear_score(cols, m)) for m in models.values()]) / len(models)
+    own = reduce(lambda acc, f: acc.when(F.col(fold) == f, lim(linear_score(cols, models[f]))), models, F.when(F.col(fold).isNull(), mean))
     res = df.withColumn(out, own)
     if test is None:
         return res
-    mean = reduce(lambda a, b: a + b, [lim(linear_score(cols, m)) for m in models.values()]) / len(models)
     return res.unionByName(test.withColumn(out, mean), allowMissingColumns=True)
 
 
@@ -106,22 +106,22 @@ def _scored(model, df: DataFrame, out: str, probability: bool) -> DataFrame:
 
 def oof_predict(estimator: Estimator, train: DataFrame, fold: str, test: DataFrame | None = None, label: str = "label",
                 out: str = "oof", bounds: tuple[float, float] | None = (0.0, 1.0), probability: bool = False) -> DataFrame:
-    """Fit on all folds but one, predict that one; test rows get the mean of the fold models.
+    """Fit on all folds but one, predict that one; test rows, and rows without a fold, get the mean of the fold models.
 
     ``train`` is settled, so that the fits do not recompute the features.
     """
     train = settle(train)
-    parts, scored_test, names = [], None if test is None else settle(test), []
+    loose = train.where(F.col(fold).isNull())
+    rest = loose if test is None else loose.unionByName(test, allowMissingColumns=True)
+    parts, scored_test, names = [], settle(rest), []
     for f in fold_numbers(train, fold):
         model = estimator.fit(train.where(F.col(fold) != f))
         parts.append(_scored(model, train.where(F.col(fold) == f), out, probability))
-        if scored_test is not None:
-            names.append(f"_p{f}")
-            scored_test = _scored(model, scored_test, names[-1], probability)
+        names.append(f"_p{f}")
+        scored_test = _scored(model, scored_test, names[-1], probability)
     res = reduce(lambda a, b: a.unionByName(b), parts)
-    if scored_test is not None:
-        mean = reduce(lambda a, b: a + b, [F.col(c) for c in names]) / len(names)
-        res = res.unionByName(scored_test.withColumn(out, mean).drop(*names), allowMissingColumns=True)
+    mean = reduce(lambda a, b: a + b, [F.col(c) for c in names]) / len(names)
+    res = res.unionByName(scored_test.withColumn(out, mean).drop(*names), allowMissingColumns=True)
     return res.withColumn(out, clip(F.col(out), *bounds)) if bounds else res
 
 
@@ -169,7 +169,7 @@ def half_oof(df: DataFrame, order: str, cols: list[str], y: str, alpha: float =
     return ridge_oof(halves, cols, y, "_half", alpha, out, test).drop("_half")
 
 
-def seed_average(train: DataFrame, fold: str, seeds: list[int], key: str, out: str = "oof", **kw) -> DataFrame:
-    """Mean of the out-of-fold predictions of the same model under several seeds."""
-    runs = [gbt_oof(train, fold, seed=s, out=out, **kw).select(key, out) for s in seeds]
+def seed_average(train: DataFrame, fold: str, seeds: list[int], key: str, test: DataFrame | None = None, out: str = "oof", **kw) -> DataFrame:
+    """Mean of the predictions of the same model under several seeds: out of fold for train rows, fold means for test rows."""
+    runs = [gbt_oof(train, fold, test, seed=s, out=out, **kw).select(key, out) for s in seeds]
     return reduce(lambda a, b: a.unionByName(b), runs).groupBy(key).agg(F.avg(out).alias(out))

@@ -93,8 +93,8 @@ def item_periods(periods: DataFrame, item: str = "item_id") -> DataFrame:
 
 
 def _per_user(per_item: DataFrame, items: DataFrame, user: str, item: str) -> DataFrame:
-    """Attach the user of each item; every item counts once."""
-    owners = items.select(item, user).dropDuplicates([item])
+    """Attach the user of each item; every item counts once, with the least user if it occurs with several."""
+    owners = items.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(user).alias(user))
     return per_item.join(owners, item, "inner").where(F.col(user).isNotNull())
 
 
@@ -119,9 +119,12 @@ def user_wait(periods: DataFrame, items: DataFrame, user: str = "user_id", item:
 
 
 def group_days_up(periods: DataFrame, items: DataFrame, by: str, item: str = "item_id") -> DataFrame:
-    """Spread of the mean days on shelf of the items in each group; items without periods stay null."""
+    """Spread of the mean days on shelf of the items in each group; items without periods stay null.
+
+    An item that occurs with several groups belongs to the least one.
+    """
     per_item = periods.groupBy(item).agg(F.avg(F.datediff("date_to", "date_from")).alias("days_up"))
-    joined = items.select(item, by).dropDuplicates([item]).join(per_item, item, "left")
+    joined = items.groupBy(item).agg(F.min(by).alias(by)).join(per_item, item, "left")
     return joined.where(F.col(by).isNotNull()).groupBy(by).agg(
         F.avg("days_up").alias("days_up_mean"), F.stddev_samp("days_up").alias("days_up_std"),
         F.max("days_up").alias("days_up_max"), F.min("days_up").alias("days_up_min"))
@@ -160,11 +163,26 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Rows per equal-width bin of [lo, hi]; the last bin includes ``hi``, values outside are left out."""
+    """Rows per equal-width bin of [lo, hi], empty bins with 0; the last bin includes ``hi``, values outside are left out."""
     width = (hi - lo) / bins
     bin_no = F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int")
-    return (df.where(F.col(col).between(lo, hi)).groupBy(bin_no.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    found = df.where(F.col(col).between(lo, hi)).groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def row_histogram(df: DataFrame, key: str, values: str, lo: float, hi: float, bins: int, out: str = "histogram") -> DataFrame:
+    """Per row, how many elements of an array column lie in each equal-width bin of [lo, hi], as an array of ``bins`` numbers.
+
+    The array is sorted into bins inside its own row; null arrays and arrays without values in range give zeros.
+    """
+    width = (hi - lo) / bins
+    inside = F.filter(F.coalesce(F.col(values), F.array()), lambda v: v.between(lo, hi))
+    places = F.transform(inside, lambda v: F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int"))
+    cells = (df.select(key, values, F.monotonically_increasing_id().alias("_row")).select(key, "_row", F.explode_outer(places).alias("_bin"))
+             .groupBy(key, "_row", "_bin").agg(F.count("_bin").alias("_n")))
+    counts = cells.groupBy(key, "_row").agg(F.map_from_entries(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_n")))).alias("_m"))
+    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0))).alias(out))
 
 
 def importance_share(df: DataFrame, k: int, feature: str = "feature", gain: str = "gain") -> DataFrame:

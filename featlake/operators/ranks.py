@@ -39,7 +39,7 @@ def label_encode(df: DataFrame, cols: list[str], null_token: str = "nan") -> Dat
     codes = settle(label_codes(df, cols, null_token))
     out = df
     for c in cols:
-        dim = codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        dim = settle(codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code")))
         out = (out.withColumn("_v", F.coalesce(F.col(c).cast("string"), F.lit(null_token)))
                .join(dim, "_v", "left").drop("_v", c).withColumnRenamed("_code", c))
     return out.select(*df.columns)

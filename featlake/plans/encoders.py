@@ -51,6 +51,26 @@ _oof("d17_oof_median_user", "user_id", "median", "median")
 _oof("j10_mean_oof", "param_1", "mean", "avg")
 
 
+def _oof_odd(name, key, stat, sql_stat, change_sql, change):
+    """Out-of-fold encoding of a changed target: missing for some rows, or far from zero."""
+    @query(name, f"""
+WITH {V.ADS_SQL}, {_TRAIN}, c AS (SELECT item_id, {key} AS k, fold, {change_sql} AS y FROM train), f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold),
+m AS (SELECT k, f.fold, {sql_stat}(y) AS v FROM c JOIN f ON c.fold <> f.fold WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT item_id, round(v, 6) AS encoded FROM c LEFT JOIN m ON c.k = m.k AND c.fold = m.fold""")
+    def run(spark, sf):
+        a = V.ads(spark, sf, "item_id", key, "target", "split", "fold", "item_seq_number", "price").where("split = 'train'")
+        enc = E.target_encode_oof(a.withColumn("y", F.expr(change)), key, "y", "fold", stat)
+        return enc.select("item_id", r6("encoded").alias("encoded"))
+    return run
+
+
+_oof_odd("d17_oof_mean_null_target", "user_id", "mean", "avg", "CASE WHEN item_seq_number % 3 = 0 THEN NULL ELSE target END",
+         "CASE WHEN item_seq_number % 3 = 0 THEN NULL ELSE target END")
+_oof_odd("d17_oof_median_null_target", "user_id", "median", "median", "CASE WHEN item_seq_number % 3 = 0 THEN NULL ELSE target END",
+         "CASE WHEN item_seq_number % 3 = 0 THEN NULL ELSE target END")
+_oof_odd("d17_oof_std_offset", "category_name", "std", "stddev_samp", "1e8::DOUBLE + target", "1e8D + target")
+
+
 @query("d18_target_smooth", f"""
 WITH {V.ADS_SQL}, {_TRAIN}, p AS (SELECT avg(target) AS prior FROM train),
 m AS (SELECT user_id AS k, avg(target) AS a, 1 / (1 + exp(-(count(*) - 20) / 10.0::DOUBLE)) AS s FROM train GROUP BY 1)

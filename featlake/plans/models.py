@@ -10,10 +10,10 @@ from featlake.operators import blend as B
 from featlake.operators import factors as FA
 from featlake.operators import oof as O
 from featlake.operators.encoders import target_encode_oof
-from featlake.operators.metrics import rmse_by_fold
 from featlake.operators.vectorize import tfidf
 from featlake.plans.registry import query, round_doubles
 from featlake.plans.text import STOP
+from featlake.session import settle
 from featlake.sources import views as V
 
 _NUM = ["price", "item_seq_number", "image_top_1", "user_id"]
@@ -74,12 +74,14 @@ def j2(spark, sf):
 @query("j2_ridge_oof_wide")
 def j2_wide(spark, sf):
     cols = ["item_seq_number", "image", "enc_category", "enc_user"]
-    a = V.ads(spark, sf, "item_id", "category_name", "user_id", "fold", "target", "item_seq_number", "image_top_1")
-    a = target_encode_oof(a, "category_name", "target", "fold", "mean", "enc_category")
-    a = target_encode_oof(a, "user_id", "target", "fold", "mean", "enc_user")
-    a = a.select("item_id", "fold", "target", "item_seq_number", F.coalesce("image_top_1", F.lit(-1)).alias("image"),
-                 F.coalesce("enc_category", F.lit(0.5)).alias("enc_category"), F.coalesce("enc_user", F.lit(0.5)).alias("enc_user"))
-    return O.ridge_oof(a, cols, "target", "fold", 20.0).select("item_id", "prediction")
+    a = V.ads(spark, sf, "item_id", "category_name", "user_id", "fold", "split", "target", "item_seq_number", "image_top_1")
+    a, test = a.where("split = 'train'"), a.where("split = 'test'")
+    enc = target_encode_oof(a, "category_name", "target", "fold", "mean", "enc_category", test=test)
+    enc = target_encode_oof(enc.where("split = 'train'"), "user_id", "target", "fold", "mean", "enc_user", test=enc.where("split = 'test'"))
+    enc = settle(enc.select("item_id", "fold", "split", "target", "item_seq_number", F.coalesce("image_top_1", F.lit(-1)).alias("image"),
+                            F.coalesce("enc_category", F.lit(0.5)).alias("enc_category"), F.coalesce("enc_user", F.lit(0.5)).alias("enc_user")))
+    out = O.ridge_oof(enc.where("split = 'train'"), cols, "target", "fold", 20.0, test=enc.where("split = 'test'"))
+    return out.select("item_id", "prediction")
 
 
 @query("j3_linear_oof")
@@ -109,33 +111,35 @@ def j5(spark, sf):
 
 @query("j6_fm_oof")
 def j6(spark, sf):
-    a = V.ads(spark, sf, "item_id", "fold", "target", "item_seq_number", "image_top_1")
-    a = a.select("item_id", "fold", F.col("target").alias("label"), (F.col("item_seq_number") / 50).alias("seq"),
+    a = V.ads(spark, sf, "item_id", "fold", "split", "target", "item_seq_number", "image_top_1")
+    a = a.select("item_id", "fold", "split", F.col("target").alias("label"), (F.col("item_seq_number") / 50).alias("seq"),
                  (F.col("image_top_1") / 50).alias("image"))
-    return _score(O.fm_oof(O.assemble_features(a, ["seq", "image"], ["item_id", "fold", "label"]), "fold", iters=5))
+    v = O.assemble_features(a, ["seq", "image"], ["item_id", "fold", "split", "label"])
+    return _score(O.fm_oof(v.where("split = 'train'").drop("split"), "fold", v.where("split = 'test'").drop("split")))
 
 
 @query("j7_gbt_oof")
 def j7(spark, sf):
     train, test = _rows(spark, sf)
-    return _score(O.gbt_oof(train, "fold", test, trees=3, depth=3))
+    return _score(O.gbt_oof(train, "fold", test))
 
 
 @query("j8_classify_oof")
 def j8(spark, sf):
-    d = V.docs(spark, sf).where("quality IS NOT NULL")
+    d = V.docs(spark, sf)
     d = d.select(F.col("doc_id").alias("item_id"), F.col("quality").alias("label"),
                  F.expr(f"CAST(pmod({V.hash60('CAST(doc_id AS STRING)')}, 5) AS INT)").alias("fold"),
                  F.log1p("n_chars").alias("log_chars"), *T.text_stats(F.col("text"), "t"))
     cols = ["log_chars", "t_num_words", "t_num_unique_words", "t_words_vs_unique"]
-    return _score(O.classify_oof(O.assemble_features(d, cols, ["item_id", "fold", "label"]), "fold"))
+    v = O.assemble_features(d, cols, ["item_id", "fold", "label"])
+    return _score(O.classify_oof(v.where("label IS NOT NULL"), "fold", v.where("label IS NULL")))
 
 
 @query("j8_classify_trees_oof")
 def j8_trees(spark, sf):
     train, test = _rows(spark, sf)
     train = train.withColumn("label", (F.col("label") >= 0.55).cast("int"))
-    return _score(O.classify_oof(train, "fold", test, kind="trees", trees=3))
+    return _score(O.classify_oof(train, "fold", test, kind="trees"))
 
 
 @query("j9_predict_missing", f"""
@@ -154,50 +158,59 @@ def j12(spark, sf):
     p = V.preds(spark, sf)
     names = [f"model_{m}" for m in range(1, 6)]
     stack = B.stack_matrix({m: p.select("item_id", F.col(m).alias("prediction")) for m in names}, "item_id", "prediction")
-    full = stack.join(p.select("item_id", "fold", "target"), "item_id")
-    out = O.ridge_oof(full, names, "target", "fold", 1.0)
-    return rmse_by_fold(out, "target", "prediction", "fold")
+    full = settle(stack.join(p.select("item_id", "fold", "split", "target"), "item_id"))
+    out = O.ridge_oof(full.where("split = 'train'"), names, "target", "fold", 1.0, test=full.where("split = 'test'"))
+    return out.select("item_id", "split", "prediction")
+
+
+@query("j12_stack_trees_oof")
+def j12_trees(spark, sf):
+    p = V.preds(spark, sf)
+    names = [f"model_{m}" for m in range(1, 6)]
+    v = O.assemble_features(p.withColumnRenamed("target", "label"), names, ["item_id", "fold", "split", "label"])
+    return _score(O.gbt_oof(v.where("split = 'train'").drop("split"), "fold", v.where("split = 'test'").drop("split")))
 
 
 @query("j13_seed_average")
 def j13(spark, sf):
-    train, _ = _rows(spark, sf)
-    return O.seed_average(train, "fold", [1, 2], "item_id", trees=2, depth=3)
+    train, test = _rows(spark, sf)
+    return O.seed_average(train, "fold", [1, 2, 3], "item_id", test, trees=10, depth=4)
 
 
 @query("j15_forest_oof")
 def j15(spark, sf):
     train, test = _rows(spark, sf)
-    return _score(O.forest_oof(train, "fold", test, trees=10, depth=5))
+    return _score(O.forest_oof(train, "fold", test))
 
 
 @query("i8_word_vectors")
 def i8(spark, sf):
     toks = V.table(spark, sf, "documents").select("doc_id", T.tokenize(F.lower("text")).alias("toks"))
-    return FA.word_vectors(toks, "doc_id", "toks", dim=16, parts=8)
+    return FA.word_vectors(toks, "doc_id", "toks", dim=16)
 
 
 @query("i9_lda_embed")
 def i9(spark, sf):
-    return FA.lda_embed(V.ads(spark, sf, "category_name", "city"), "category_name", "city", 3, iters=10)
+    return FA.lda_embed(V.ads(spark, sf, "category_name", "city"), "category_name", "city", 3)
 
 
 @query("i10_nmf_embed")
 def i10(spark, sf):
-    return FA.nmf_embed(V.ads(spark, sf, "user_id", "category_name"), "user_id", "category_name", 3, iters=4)
+    return FA.nmf_embed(V.ads(spark, sf, "user_id", "category_name"), "user_id", "category_name", 3)
 
 
 @query("i11_tfidf_nmf_by")
 def i11(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return FA.tfidf_nmf_by(d, "doc_id", "text", "lang", 5, iters=3)
+    return FA.tfidf_nmf_by(d, "doc_id", "text", "lang", 5)
 
 
 @query("i12_svd_embed")
 def i12(spark, sf):
-    w = tfidf(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", min_df=3, max_df=0.9,
-              max_features=5000, stopwords=STOP)
-    return FA.svd_embed(w, "doc_id", "term", "weight", 4, iters=3)
+    d = V.table(spark, sf, "documents").select("doc_id", "text")
+    w = tfidf(d, "doc_id", "text", min_df=3, max_df=0.9, max_features=5000, stopwords=STOP)
+    zero = F.array(*[F.lit(0.0)] * 4)  # of a document without kept terms
+    return d.select("doc_id").join(FA.svd_embed(w, "doc_id", "term", "weight", 4), "doc_id", "left").withColumn("svd", F.coalesce("svd", zero))
 
 
 @query("i13_pca")

@@ -217,10 +217,21 @@ def d26(spark, sf):
 
 
 @query("d31_histogram", """
-SELECT CAST(least(floor((l_extendedprice - 0) / (100000.0::DOUBLE / 255)), 254) AS INT) AS bin, count(*) AS n
-FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1""")
+WITH f AS (SELECT CAST(least(floor((l_extendedprice - 0) / (110000.0::DOUBLE / 255)), 254) AS INT) AS bin, count(*) AS n
+FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 110000 GROUP BY 1)
+SELECT CAST(b AS INT) AS bin, coalesce(n, 0) AS n FROM range(255) t(b) LEFT JOIN f ON bin = b""")
 def d31(spark, sf):
-    return P.histogram(V.table(spark, sf, "lineitem"), "l_extendedprice", 0.0, 100000.0, 255)
+    return P.histogram(V.table(spark, sf, "lineitem"), "l_extendedprice", 0.0, 110000.0, 255)
+
+
+@query("d31_row_histogram", """
+WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings),
+c AS (SELECT vec_id, CAST(least(floor((x + 1) / (2.0::DOUBLE / 255)), 254) AS INT) AS bin, count(*) AS n FROM v WHERE x BETWEEN -1 AND 1 GROUP BY 1, 2)
+SELECT vec_id, list_transform(range(255), lambda b: CAST(coalesce(list_extract(map_extract(m, CAST(b AS INT)), 1), 0) AS BIGINT)) AS histogram
+FROM (SELECT vec_id, map(list(bin), list(n)) AS m FROM c GROUP BY 1)""")
+def d31_rows(spark, sf):
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return P.row_histogram(e, "vec_id", "embedding", -1.0, 1.0, 255)
 
 
 _GAINS = "SELECT p_name AS feature, sum(l_extendedprice) AS gain FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"

@@ -89,7 +89,7 @@ _MIX = "replace(replace(replace(text, 'the', 'привет'), 'an', 'ы'), 'le',
 
 @query("x6_split_scripts", f"""
 SELECT doc_id, regexp_replace(regexp_replace({_MIX}, '([\\x{{0}}-\\x{{ff}}])([^\\x{{0}}-\\x{{ff}}])', '\\1 \\2', 'g'),
-  '([^\\x{{0}}-\\x{{ff}}])([\\x{{0}}-\\x1f!-\\x{{ff}}])', '\\1 \\2', 'g') AS clean FROM documents""")
+  '([^\\x{{0}}-\\x{{ff}}])([\\x{{0}}-\\x{{ff}}])', '\\1 \\2', 'g') AS clean FROM documents""")
 def x6(spark, sf):
     return _docs(spark, sf).select("doc_id", T.split_scripts(F.expr(_MIX)).alias("clean"))
 
