@@ -53,7 +53,7 @@ def ridge_models(df: DataFrame, cols: list[str], y: str, fold: str, alpha: float
     """Model per fold, learned on all other folds: total sums less the fold's own. One small row per fold is fetched."""
     p = len(cols) + 1
     parts = {}
-    for r in gram_sums(df, cols, y, fold).collect():
+    for r in gram_sums(df.where(F.col(fold).isNotNull()), cols, y, fold).collect():
         g = np.zeros((p, p))
         g[np.triu_indices(p)] = r["g"]
         parts[r[fold]] = (r["n"], np.array(r["s"]), g + np.triu(g, 1).T)
