@@ -72,12 +72,15 @@ def rolled(tokens: np.ndarray, k: int) -> np.ndarray:
                 acc, done = cur, length
             else:
                 m = len(tokens) - (done + length) + 1
-                acc = acc[:m] * U64(pow(BASE, length, 1 << 64)) + cur[done:done + m]
+                acc = acc[:m] * U64(pow(BASE, length, 1 << 64))
+                acc += cur[done:done + m]
                 done += length
         if length * 2 > k:
             return acc[:n]
         m = len(tokens) - 2 * length + 1
-        cur = cur[:m] * U64(pow(BASE, length, 1 << 64)) + cur[length:length + m]
+        far = cur[length:length + m]
+        cur = cur[:m] * U64(pow(BASE, length, 1 << 64))
+        cur += far
         length *= 2
 
 

@@ -36,7 +36,7 @@ def by_sorting(tok: Tokens, owners: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def method(window: int = 13, minimiser: int = 3) -> Method:
+def method(window: int = 13, minimiser: int = 4) -> Method:
     return Method(window, min(minimiser, window), word_tokens, word_pieces, by_sorting, bytes.split,
                   lambda runs: b" ".join(w for r in runs for w in r))
 

@@ -30,24 +30,27 @@ def suffix_array(tok: Tokens, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     n = tok.counts - k + 1
     string, j = spread(n)
-    begins = np.cumsum(tok.counts) - tok.counts
-    at = begins[string] + j
-    word = eights(tok.text)
+    at = (np.cumsum(tok.counts) - tok.counts)[string] + j
     hashes = rolled(tok.hashes, k)[at]
     order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)]  # a prefix that stands once is no repeat
     string, j, at, hashes = string[order], j[order], at[order], hashes[order]
-    steps = [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]
+    word = eights(tok.text)
     equal = hashes[1:] == hashes[:-1]
-    for s in steps:
-        equal &= word[at[1:] + s] == word[at[:-1] + s]
-    if (equal != (hashes[1:] == hashes[:-1])).any():  # two prefixes share a hash: part them by their bytes
+    steps = [*range(0, k - 7, 8), k - 8]
+    true = equal & np.logical_and.reduce([word[at[1:] + s] == word[at[:-1] + s] for s in steps])
+    if (true != equal).any():  # two prefixes share a hash: part them by their bytes
         order = np.lexsort([word[at + s] for s in reversed(steps)])
         string, j, at = string[order], j[order], at[order]
-        equal = np.logical_and.reduce([word[at[1:] + s] == word[at[:-1] + s] for s in steps])
+        true = np.logical_and.reduce([word[at[1:] + s] == word[at[:-1] + s] for s in steps])
     left = np.where(j > 0, tok.text[at - 1].astype(np.int64), 256)
-    heads = np.flatnonzero(np.append(True, ~equal))
+    heads = np.flatnonzero(np.append(True, ~true)) if len(at) else np.zeros(0, np.int64)
+    if not len(heads):
+        return string, j, at, left
     sizes = np.diff(np.append(heads, len(at)))
-    diverse = (sizes > 1) & ((np.minimum.reduceat(left, heads) != np.maximum.reduceat(left, heads)) | (np.maximum.reduceat(left, heads) == 256))
+    most = np.maximum.reduceat(left, heads)
+    diverse = (sizes > 1) & ((np.minimum.reduceat(left, heads) != most) | (most == 256))
     keep, run = np.repeat(diverse, sizes), np.repeat(np.arange(len(heads)), sizes)
     string, j, at, left, run = string[keep], j[keep], at[keep], left[keep], run[keep]
     rest = tok.counts[string] - j - k  # bytes after the prefix
@@ -99,16 +102,21 @@ def by_intervals(tok: Tokens, owners: np.ndarray, k: int) -> np.ndarray:
     out = np.repeat(owners, n)
     first = np.cumsum(n) - n
     string, j, lcp, left = suffix_array(tok, k)
-    found = list(intervals(lcp, left, owners[string]))
     where = first[string] + j
-    for lo, hi, size, least in sorted(found, key=lambda x: -x[3]):  # the smallest document is written last
-        for p in where[lo:hi].tolist():
-            part = out[p:p + size - k + 1]
-            np.minimum(part, least, out=part)
+    best = np.full(len(where), NEVER)  # of the deeper repeats that a suffix is in, which reach further
+    found = []
+    for lo, hi, size, least in intervals(lcp, left, owners[string]):
+        new = lo + np.flatnonzero(best[lo:hi] > least)
+        if len(new):
+            best[new] = least
+            found.append((least, size - k + 1, where[new].tolist()))
+    for least, size, places in sorted(found, key=lambda x: -x[0]):  # the smallest document is written last
+        for p in places:
+            out[p:p + size] = least
     return out
 
 
-def method(window: int = 50, minimiser: int = 12) -> Method:
+def method(window: int = 50, minimiser: int = 20) -> Method:
     return Method(window, min(minimiser, window), byte_tokens, byte_pieces, by_intervals, bytes, b"".join)
 
 

@@ -2,38 +2,47 @@
 
 Both exact-repeat operators (windows of words, runs of bytes) share one flow:
 
-1. *scan* (no shuffle): a batch of documents becomes super-k-mers, maximal runs of consecutive windows of ``k`` tokens
-   with the same minimiser (the least scrambled hash of the window's ``m``-token pieces). Equal windows have equal
-   minimisers, so they meet in one bucket. A super-k-mer that a smaller document of the same batch also holds is
-   settled here and travels without its text, so a group of copies costs one string for each batch.
-2. *buckets*: super-k-mers travel packed by bucket. A bucket finds, for every window, the smallest document that has
-   it; how is what the two operators differ in. It sends back the covered token ranges.
-3. *documents*: ranges and documents meet by a hash of the document and the covered tokens are removed.
-
-The number of buckets and of document groups follows the measured length of all texts, so each stays of one size.
+1. *batches*: documents are packed, a few megabytes each, into a table in the shared folder; later steps address a
+   document by batch and place.
+2. *announce*: the consecutive windows of ``k`` tokens that share a minimiser (the least scrambled hash of the window's
+   ``m``-token pieces) form a super-k-mer. Equal windows have equal minimisers, so only super-k-mers whose minimiser a
+   second document also has can matter. A batch sends its distinct minimisers, packed, to their buckets and gets back
+   those that others have too.
+3. *buckets*: these super-k-mers travel as packed strings to the bucket of their minimiser. One that a smaller document
+   of the same chunk of a batch also holds is settled before and travels without its text, so a group of copies costs
+   one string for each chunk. A bucket finds, for every window, the smallest document that has it; how is what the two operators
+   differ in. It sends the covered token ranges back.
+4. *documents*: ranges meet their batch and the covered tokens are removed.
+
+The number of buckets follows the measured length of all texts, so a bucket stays of one size.
 
 Rows without id or text have no windows that count, neither as source nor as copy. Rows that share an id are never
-each other's source. Texts longer than a batch are cut into overlapping pieces, so no window is lost.
+each other's source. Texts longer than a chunk are cut into overlapping pieces, so no window is lost.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featlake.llm.common import U64, mixed, pack, rolled, shuffle_partitions, sliding_min, spread, unpack
+from featlake.session import settle
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 NEVER = np.iinfo(np.int64).max
-BATCH = 6 << 20       # bytes of text for one batch of the scan
-BUCKET = 4 << 20      # bytes of text for one bucket, about four times that in overlapping strings
-SLICE = 8 << 20       # bytes of text for one group of documents in the last step
+BATCH = 4 << 20       # bytes of text for one stored batch
+CHUNK = 2 << 20       # bytes of text that a task works on at a time
+BUCKET = 4 << 20      # bytes of text for one bucket; overlapping strings that others share may be as long
+LONGEST = 64          # windows of one super-k-mer at most; longer runs are cut
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -84,18 +93,18 @@ def _word_hashes(text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nd
 
 
 def byte_pieces(raw: bytes, k: int) -> Iterator[tuple[int, bytes]]:
-    """A text in pieces of one batch at most that overlap by a window less one token; with the first token's place."""
-    for at in range(0, max(1, len(raw) - k + 1), BATCH):
-        yield at, raw[at:at + BATCH + k - 1]
+    """A text in pieces of one chunk at most that overlap by a window less one token; with the first token's place."""
+    for at in range(0, max(1, len(raw) - k + 1), CHUNK):
+        yield at, raw[at:at + CHUNK + k - 1]
 
 
 def word_pieces(raw: bytes, k: int) -> Iterator[tuple[int, bytes]]:
-    if len(raw) <= BATCH:
+    if len(raw) <= CHUNK:
         yield 0, raw
         return
     at, base, tail = 0, 0, []
     while at < len(raw):
-        end = min(len(raw), at + BATCH)
+        end = min(len(raw), at + CHUNK)
         while end < len(raw) and not SPACE[raw[end]]:
             end += 1
         words = tail + raw[at:end].split()
@@ -127,26 +136,54 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
 
 
-# --- scan --------------------------------------------------------------------------------------------------------
+# --- batches -----------------------------------------------------------------------------------------------------
 
 
-def scan(batches: Iterator[pa.RecordBatch], method: Method, buckets: int, fold: bool = True) -> Iterator[pa.RecordBatch]:
+def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, row) as compressed tables of one batch each, ordered by id with nulls last."""
+    place, count = TaskContext.get().partitionId(), itertools.count()
     held, size = [], 0
 
     def flush():
-        yield from _pack_batch(held, method, buckets, fold)
+        t = pa.Table.from_batches(held).sort_by("id")
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+        return pa.RecordBatch.from_arrays([pa.array([place << 32 | next(count)], pa.int64()), pa.array([blob], pa.binary())], ["batch", "docs"])
+
+    for b in batches:
+        sizes = np.cumsum([size] + [len(x.as_py() or b"") for x in b.column(1)])
+        at = 0
+        for i in range(b.num_rows):
+            if sizes[i + 1] - sizes[at] + size >= BATCH or i + 1 - at >= 50_000:
+                held.append(b.slice(at, i + 1 - at))
+                yield flush()
+                held, size, at = [], 0, i + 1
+        if at < b.num_rows:
+            held.append(b.slice(at))
+            size += int(sizes[-1] - sizes[at])
+    if held:
+        yield flush()
+
+
+def opened_batch(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
 
-    for batch in batches:
-        ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, raw in enumerate(batch.column(2)):
-            for base, piece in method.pieces(raw.as_py(), method.k):
-                held.append((int(ids[i]), int(keys[i]), base, piece))
+def pieces_of(docs: pa.Table, method: Method) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(place of the document, first token, bytes) of what a batch holds, at most about ``CHUNK`` bytes at a time."""
+    held, size = [], 0
+    for d, (i, text) in enumerate(zip(docs.column("id"), docs.column("text"), strict=True)):
+        if i.is_valid and text.is_valid:
+            for base, piece in method.pieces(text.as_py(), method.k):
+                held.append((d, base, piece))
                 size += len(piece)
-                if size >= BATCH:
-                    yield from flush()
+                if size >= CHUNK:
+                    yield held
                     held, size = [], 0
     if held:
-        yield from flush()
+        yield held
 
 
 def superkmers(tok: Tokens, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,41 +201,104 @@ def superkmers(tok: Tokens, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
     new[1:] &= ~valid[:-1] | (mins[1:] != mins[:-1])
     last = valid.copy()
     last[:-1] &= ~valid[1:] | new[1:]
-    first = np.flatnonzero(new)
-    return first, np.flatnonzero(last), mins[first]
+    first, last = np.flatnonzero(new), np.flatnonzero(last)
+    value = mins[first]
+    part, place = spread(-(-(last - first + 1) // LONGEST))  # no string grows long, as they would in periodic texts
+    first = first[part] + place * LONGEST
+    return first, np.minimum(first + LONGEST - 1, last[part]), value[part]
+
+
+# --- announce ----------------------------------------------------------------------------------------------------
+
+
+def homes(value: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (high half) and tag (low half) of minimisers."""
+    return ((value >> U64(32)) % U64(buckets)).astype(np.int64) << 32 | (value & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def by_head(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a sorted array of (head << 32 | tail) with one head each."""
+    return (p for p in np.split(rows, np.flatnonzero(np.diff(rows >> 32)) + 1) if len(p))
+
+
+def announce(batches: Iterator[pa.RecordBatch], method: Method, buckets: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for batch, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            found = [np.zeros(0, np.int64)]
+            for held in pieces_of(opened_batch(blob.as_py()), method):
+                tok = method.tokenise([x[2] for x in held])
+                found.append(np.unique(homes(superkmers(tok, method.k, method.m)[2], buckets)))
+            parts = list(by_head(np.unique(np.concatenate(found))))
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> 32) for p in parts], pa.int32()), pa.array([batch] * len(parts), pa.int64()),
+                                              pa.array([pack(np.diff(p & 0xFFFFFFFF, prepend=0).astype(np.uint32)) for p in parts], pa.binary())], ["bucket", "batch", "tags"])
+
+
+def in_several(t: pa.Table) -> pa.Table:
+    """Of the tags announced to one bucket, those of more than one batch, sent back to each of them."""
+    bucket = t.column("bucket")[0].as_py()
+    tags = [np.cumsum(unpack(x)[0].astype(np.int64)) for x in t.column("tags").to_pylist()]
+    every, n = np.unique(np.concatenate(tags), return_counts=True)
+    many = every[n > 1]
+    mine = [x[np.isin(x, many, assume_unique=True)] for x in tags]
+    return pa.table([t.column("batch"), pa.array([pack(np.array([bucket], np.int64), x.astype(np.uint32)) for x in mine], pa.binary())], ["batch", "tags"])
+
 
+# --- strings to their buckets ------------------------------------------------------------------------------------
 
-def _pack_batch(held: list, method: Method, buckets: int, fold: bool) -> Iterator[pa.RecordBatch]:
-    held = sorted(held, key=lambda x: x[:3])
-    ids = np.array([x[0] for x in held], np.int64)
-    keys = np.array([x[1] for x in held], np.int32)
-    bases = np.array([x[2] for x in held], np.int64)
-    tok = method.tokenise([x[3] for x in held])
+
+def ship(lists: pa.Table, batches: pa.Table, method: Method, buckets: int, fold: bool) -> pa.Table:
+    """Super-k-mers of a batch whose minimiser another document has too, packed by bucket."""
+    parts = [unpack(x) for x in lists.column("tags").to_pylist()]
+    told = np.sort(np.concatenate([np.zeros(0, np.int64), *[int(b[0]) << 32 | x.astype(np.int64) for b, x in parts]]))
+    names, numbers, blobs = [], [], []
+    for batch, blob in zip(batches.column("batch").to_pylist(), batches.column("docs"), strict=True):
+        docs = opened_batch(blob.as_py())
+        ids = docs.column("id").fill_null(NEVER).to_numpy()
+        for held in pieces_of(docs, method):
+            for name, packed in _packed(held, ids, told, method, buckets, fold):
+                names.append(name)
+                numbers.append(batch)
+                blobs.append(packed)
+    return pa.table([pa.array(names, pa.int32()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
+
+
+def _packed(held: list, ids: np.ndarray, told: np.ndarray, method: Method, buckets: int, fold: bool) -> Iterator[tuple[int, bytes]]:
+    places, bases = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+    tok = method.tokenise([x[2] for x in held])
     first, last, value = superkmers(tok, method.k, method.m)
-    if not len(first):
-        return
+    home = homes(value, buckets)
     begins = np.cumsum(tok.counts) - tok.counts
-    doc = np.searchsorted(begins, first, side="right") - 1
+    piece = np.searchsorted(begins, first, side="right") - 1
+    order = np.argsort(home, kind="stable")
+    heads = np.flatnonzero(np.diff(home[order], prepend=-1))
+    if not len(heads):
+        return
+    owner = ids[places[piece]]
+    many = np.minimum.reduceat(owner[order], heads) < np.maximum.reduceat(owner[order], heads)
+    if len(told):
+        head = home[order][heads]
+        many |= told[np.minimum(np.searchsorted(told, head), len(told) - 1)] == head
+    order = order[np.repeat(many, np.diff(np.append(heads, len(order))))]
+    if not len(order):
+        return
+    keep = np.sort(order)
+    first, last, home, piece, owner = first[keep], last[keep], home[keep], piece[keep], owner[keep]
     raw = tok.text.tobytes()
     text = [raw[a:b] for a, b in zip(tok.left[first].tolist(), tok.right[last + method.k - 1].tolist(), strict=True)]
     seen: dict[bytes, int] = {}
-    source = np.fromiter(map(seen.setdefault, text, doc.tolist()), np.int64, len(text))
-    done = (ids[source] < ids[doc]) & fold
-    start, windows = bases[doc] + first - begins[doc], last - first + 1
-    bucket = ((value >> U64(24)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    names, blobs = [], []
-    for part in np.split(order, cuts):
-        docs, local = np.unique(doc[part], return_inverse=True)
+    source = np.fromiter(map(seen.setdefault, text, range(len(text))), np.int64, len(text))
+    done = (owner[source] < owner) & fold
+    start, windows, place = bases[piece] + first - begins[piece], last - first + 1, places[piece]
+    order = np.argsort(home >> 32, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(home[order] >> 32)) + 1):
+        docs, local = np.unique(place[part], return_inverse=True)
         live = part[~done[part]]
         strings = [text[i] for i in live.tolist()]
-        tag = (value[live] & U64(0xFFFFFF)).astype(np.uint32)
-        names.append(int(bucket[part[0]]))
-        blobs.append(pack(ids[docs], keys[docs], small(np.diff(local, prepend=0)), small(start[part]), small(windows[part]),
-                          done[part].astype(np.uint8), (tag & 255).astype(np.uint8), (tag >> 8 & 255).astype(np.uint8), (tag >> 16).astype(np.uint8),
-                          small(np.array([len(x) for x in strings], np.int64)), np.frombuffer(b"".join(strings), np.uint8)))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        tag = home[live] & 0xFFFFFF
+        yield int(home[part[0]] >> 32), pack(
+            small(docs), ids[docs], small(np.diff(local, prepend=0)), small(start[part]), small(windows[part]), done[part].astype(np.uint8),
+            (tag & 255).astype(np.uint8), (tag >> 8 & 255).astype(np.uint8), (tag >> 16).astype(np.uint8),
+            small(np.array([len(x) for x in strings], np.int64)), np.frombuffer(b"".join(strings), np.uint8))
 
 
 # --- buckets -----------------------------------------------------------------------------------------------------
@@ -206,31 +306,33 @@ def _pack_batch(held: list, method: Method, buckets: int, fold: bool) -> Iterato
 
 @dataclass
 class Bucket:
-    """Super-k-mers of one bucket: document, place and window count of each; ``u`` is the distinct string, -1 if none."""
+    """Super-k-mers of one bucket: batch, place and id of the document, first token and window count of each.
+
+    ``u`` is the place of its text in ``strings``, -1 if it came without or no second document has the minimiser.
+    """
 
+    batch: np.ndarray
+    place: np.ndarray
     ids: np.ndarray
-    keys: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     done: np.ndarray
     u: np.ndarray
     strings: list[bytes]
-    owner: np.ndarray  # smallest document of each distinct string
+    owner: np.ndarray  # smallest document of each string
 
 
-def opened(blobs: list[bytes]) -> Bucket:
-    ids, keys, start, windows, done, tags, texts = [], [], [], [], [], [], []
-    for b in blobs:
-        d, key, local, s, w, gone, t0, t1, t2, sizes, text = unpack(b)
+def opened(t: pa.Table) -> Bucket:
+    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    texts = []
+    for number, blob in zip(t.column("batch").to_pylist(), t.column("blob").to_pylist(), strict=True):
+        docs, d, local, s, w, gone, t0, t1, t2, sizes, text = unpack(blob)
         local = np.cumsum(local.astype(np.int64))
-        ids.append(d[local])
-        keys.append(key[local])
-        start.append(s.astype(np.int64))
-        windows.append(w.astype(np.int64))
-        done.append(gone.astype(bool))
-        tags.append(t0.astype(np.int64) | t1.astype(np.int64) << 8 | t2.astype(np.int64) << 16)
+        for c, v in zip(cols, (np.full(len(local), number), docs[local].astype(np.int64), d[local], s.astype(np.int64), w.astype(np.int64), gone.astype(bool),
+                               t0.astype(np.int64) | t1.astype(np.int64) << 8 | t2.astype(np.int64) << 16), strict=True):
+            c.append(v)
         texts.append((text, np.append(0, np.cumsum(sizes.astype(np.int64)))))
-    ids, keys, start, windows, done, tags = map(np.concatenate, (ids, keys, start, windows, done, tags))
+    batch, place, ids, start, windows, done, tags = map(np.concatenate, cols)
     live = np.flatnonzero(~done)
     order = np.argsort(tags, kind="stable")
     heads = np.flatnonzero(np.diff(tags[order], prepend=-1)) if len(order) else order
@@ -249,12 +351,13 @@ def opened(blobs: list[bytes]) -> Bucket:
         at += len(cut) - 1
     least = np.full(len(strings), NEVER)
     np.minimum.at(least, u[u >= 0], ids[u >= 0])
-    return Bucket(ids, keys, start, windows, done, u, list(strings), least)
+    return Bucket(batch, place, ids, start, windows, done, u, list(strings), least)
 
 
-def covered(b: Bucket, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, key, first and last token (exclusive) of the runs that a smaller document also holds."""
-    out = [(b.ids[b.done], b.keys[b.done], b.start[b.done], b.start[b.done] + b.windows[b.done] + method.k - 1)]
+def covered(b: Bucket, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry of the bucket, first and last token (exclusive) of the runs that a smaller document also holds."""
+    whole = [np.flatnonzero(b.done)]
+    out = []
     if b.strings:
         tok = method.tokenise(b.strings)
         n = tok.counts - method.k + 1
@@ -264,7 +367,7 @@ def covered(b: Bucket, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarr
         e = np.flatnonzero(b.u >= 0)
         e = e[low[b.u[e]] < b.ids[e]]
         full = high[b.u[e]] < b.ids[e]
-        out.append((b.ids[e[full]], b.keys[e[full]], b.start[e[full]], b.start[e[full]] + b.windows[e[full]] + method.k - 1))
+        whole.append(e[full])
         e = e[~full]
         sizes = n[b.u[e]]
         for part in np.split(np.arange(len(e)), np.flatnonzero(np.diff(np.cumsum(sizes) // (4 << 20))) + 1):
@@ -278,20 +381,23 @@ def covered(b: Bucket, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarr
             tail[:-1] &= ~hit[1:] | (j[1:] == 0)
             head, tail = np.flatnonzero(head), np.flatnonzero(tail)
             who = mine[group[head]]
-            out.append((b.ids[who], b.keys[who], b.start[who] + j[head], b.start[who] + j[tail] + method.k))
+            out.append((who, b.start[who] + j[head], b.start[who] + j[tail] + method.k))
+    w = np.concatenate(whole)
+    out.append((w, b.start[w], b.start[w] + b.windows[w] + method.k - 1))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def settle_bucket(t: pa.Table, method: Method, slices: int) -> pa.Table:
-    ids, keys, start, end = covered(opened(t.column("blob").to_pylist()), method)
-    part = keys.astype(np.int64) % slices
-    order = np.lexsort((start, ids, part))
+def settle_bucket(t: pa.Table, method: Method) -> pa.Table:
+    b = opened(t)
+    entry, start, end = covered(b, method)
+    batch, place = b.batch[entry], b.place[entry]
+    order = np.lexsort((start, place, batch))
     names, blobs = [], []
-    for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+    for p in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1):
         if len(p):
-            names.append(int(part[p[0]]))
-            blobs.append(pack(ids[p], keys[p], small(start[p]), small(end[p] - start[p])))
-    return pa.table([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+            names.append(int(batch[p[0]]))
+            blobs.append(pack(small(np.diff(place[p], prepend=0)), small(start[p]), small(end[p] - start[p])))
+    return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "ranges"])
 
 
 # --- documents ---------------------------------------------------------------------------------------------------
@@ -305,57 +411,66 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
     return start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist()
 
 
-def cut_documents(ranges: pa.Table, docs: pa.Table, method: Method) -> pa.Table:
-    found = [unpack(x) for x in ranges.column("blob").to_pylist()]
-    spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def cut_documents(ranges: pa.Table, batches: pa.Table, method: Method) -> pa.Table:
+    found = [unpack(x) for x in ranges.column("ranges").to_pylist()]
+    spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if found:
-        ids, keys, start, size = (np.concatenate([f[i].astype(np.int64) for f in found]) for i in range(4))
-        order = np.lexsort((keys, ids))
-        ids, keys, start, size = ids[order], keys[order], start[order], size[order]
-        for p in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids) | np.diff(keys)) + 1):
-            spans[int(ids[p[0]]), int(keys[p[0]])] = start[p], start[p] + size[p]
-    total, gone, kept, runs = [], [], [], []
-    for i, key, raw in zip(docs.column("id").to_pylist(), docs.column("key").to_pylist(), docs.column("text"), strict=True):
-        parts = method.parts(raw.as_py() or b"")
-        a, b = merged(*spans[i, key]) if (i, key) in spans else ([], [])
-        total.append(len(parts))
-        gone.append(sum(b) - sum(a))
-        kept.append(method.joined([parts[x:y] for x, y in zip([0, *b], [*a, len(parts)], strict=True)]))
-        runs.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
+        place = np.concatenate([np.cumsum(f[0].astype(np.int64)) for f in found])
+        start, size = (np.concatenate([f[i].astype(np.int64) for f in found]) for i in (1, 2))
+        order = np.argsort(place, kind="stable")
+        place, start, size = place[order], start[order], size[order]
+        for p in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
+            spans[int(place[p[0]])] = start[p], start[p] + size[p]
+    out = []
     span = pa.list_(pa.field("element", pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-    return pa.table([docs.column("row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, span)],
-                    ["row", "n_tokens", "n_removed", "kept", "spans"])
+    for blob in batches.column("docs").to_pylist():
+        docs = opened_batch(blob)
+        total, gone, kept, runs = [], [], [], []
+        for d, raw in enumerate(docs.column("text")):
+            raw = raw.as_py()
+            parts = method.parts(raw or b"")
+            a, b = merged(*spans[d]) if d in spans else ([], [])
+            total.append(len(parts))
+            gone.append(sum(b) - sum(a))
+            kept.append(None if raw is None else method.joined([parts[x:y] for x, y in zip([0, *b], [*a, len(parts)], strict=True)]))
+            runs.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
+        out.append(pa.table([docs.column("row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, span)],
+                            ["row", "n_tokens", "n_removed", "kept", "spans"]))
+    return pa.concat_tables(out)
 
 
 # --- the flow ----------------------------------------------------------------------------------------------------
 
 
-def without_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: ``row`` (a struct of the columns named in ``carry``, all if None), ``n_tokens``,
-    ``n_removed``, ``kept`` (the bytes left) and ``spans`` (removed runs of tokens, start and end exclusive)."""
+def _batches(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, int, T.StructType]:
+    """The table of batches, the number of buckets, and the type of ``row``."""
     spark = docs.sparkSession
-    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    read = docs.select(ident.alias("id"), F.hash(text, ident).alias("key"), text.cast("binary").alias("text"), row.alias("row"))
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.cast("binary").alias("text"), row.alias("row"))
+    table = settle(read.mapInArrow(packed_batches, "batch long, docs binary"))
     length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    least = 2 * shuffle_partitions(spark)
-    buckets, slices = max(least, -(-length // BUCKET)), max(shuffle_partitions(spark), -(-length // SLICE))
-    read = read.withColumn("slice", F.expr(f"cast(pmod(cast(key as long), {slices}) as int)"))
-    shape = T.StructType([T.StructField("row", read.schema["row"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_removed", T.LongType()),
+    return table, max(2 * shuffle_partitions(spark), -(-length // BUCKET)), read.schema["row"].dataType
+
+
+def _shipped(table: DataFrame, method: Method, buckets: int, fold: bool) -> DataFrame:
+    told = (table.mapInArrow(lambda it: announce(it, method, buckets), "bucket int, batch long, tags binary")
+            .groupBy("bucket").applyInArrow(in_several, "batch long, tags binary"))
+    return (told.groupBy("batch").cogroup(table.groupBy("batch"))
+            .applyInArrow(lambda a, b: ship(a, b, method, buckets, fold), "bucket int, batch long, blob binary"))
+
+
+def without_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``row`` (a struct of the columns in ``carry``, all but the text if None), ``n_tokens``,
+    ``n_removed``, ``kept`` (the bytes left, null for a null text) and ``spans`` (removed runs of tokens, end exclusive)."""
+    table, buckets, row = _batches(docs, id_col, text_col, [c for c in docs.columns if c != text_col] if carry is None else carry)
+    shape = T.StructType([T.StructField("row", row), T.StructField("n_tokens", T.LongType()), T.StructField("n_removed", T.LongType()),
                           T.StructField("kept", T.BinaryType()), T.StructField("spans", SPANS)])
-    packed = (read.where("id is not null and text is not null").select("id", "key", "text")
-              .mapInArrow(lambda it: scan(it, method, buckets), "bucket int, blob binary"))
-    ranges = packed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, method, slices), "slice int, blob binary")
-    return (ranges.groupBy("slice").cogroup(read.groupBy("slice"))
-            .applyInArrow(lambda a, b: cut_documents(a, b, method), shape))
+    ranges = _shipped(table, method, buckets, True).groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, method), "batch long, ranges binary")
+    return ranges.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(lambda a, b: cut_documents(a, b, method), shape)
 
 
 def bucket_rows(docs: DataFrame, method: Method, id_col: str, text_col: str, each: Callable[[Bucket], pa.Table], shape: str) -> DataFrame:
     """What ``each`` makes of the buckets, all copies present with their text."""
-    spark = docs.sparkSession
-    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
-    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(spark), -(-length // BUCKET))
-    read = docs.select(ident.alias("id"), F.hash(text, ident).alias("key"), text.cast("binary").alias("text"))
-    return (read.where("id is not null and text is not null").mapInArrow(lambda it: scan(it, method, buckets, fold=False), "bucket int, blob binary")
-            .groupBy("bucket").applyInArrow(lambda t: each(opened(t.column("blob").to_pylist())), shape))
+    table, buckets, _ = _batches(docs, id_col, text_col, [])
+    return _shipped(table, method, buckets, False).groupBy("bucket").applyInArrow(lambda t: each(opened(t)), shape)
