@@ -98,7 +98,7 @@ _HASH = "CAST(trunc(price / 500) AS INT) * ascii(substr(param_2, 1, 1))"
 
 
 def _hashed(spark, sf):
-    return V.preds(spark, sf, 2).withColumn("param_hash", N.param_hash(F.col("price"), F.ascii(F.substring("param_2", 1, 1))))
+    return V.preds(spark, sf, 2, "price", "param_2").withColumn("param_hash", N.param_hash(F.col("price"), F.ascii(F.substring("param_2", 1, 1))))
 
 
 @query("c10_snap_nearest_by", _NEAR.format(preds=V.preds_sql(2), g=_HASH)
@@ -120,7 +120,7 @@ def k4(spark, sf):
 @query("k5_snap_by_category", _NEAR.format(preds=V.preds_sql(2), g="param_2")
        + "SELECT item_id, round(0.5 * coalesce(s, model_2) + 0.5 * model_2, 6) AS final FROM preds LEFT JOIN m ON x = model_2 AND m.g = param_2")
 def k5(spark, sf):
-    p = V.preds(spark, sf, 2)
+    p = V.preds(spark, sf, 2, "param_2")
     return round_doubles(S.snap_and_mix(p.select("item_id", "model_2", "param_2"), "model_2", p.where("split = 'train'"),
                                         "target", by=["param_2"], weight=0.5).select("item_id", "final"))
 

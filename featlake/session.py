@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "featlake", master: str | None = None, **conf) -> SparkSession:
-    """Session with the settings the library relies on; a cluster's own settings win."""
+    """Session with the settings the library relies on; what a running session has set already stays, unless asked for in ``conf``.
+
+    Settled tables are dictionary-coded and compressed, so their files are taken as a third of their size in memory
+    before a broadcast is planned.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -18,23 +22,37 @@ def build_session(app: str = "featlake", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.sources.fileCompressionFactor": "3.0",
     }
-    for k, v in {**defaults, **conf}.items():
+    running = SparkSession.getActiveSession()
+    known = set(running.conf.getAll) if running else set()
+    for k, v in {**{k: v for k, v in defaults.items() if k not in known}, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+_OWN: dict[str, str] = {}  # temporary folders of local sessions without a setting
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions.
+
+    A cluster needs a folder in a store that all machines share. One on a disk path is refused there, unless
+    ``spark.featlake.mounted`` says that every machine mounts it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        cluster = not spark.sparkContext.master.startswith("local")
+        disk = folder.startswith("file:") or (folder.startswith("/") and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"))
+        if cluster and disk and spark.conf.get("spark.featlake.mounted", "false") != "true":
+            raise RuntimeError(f"{folder} is a disk path that only one machine may see; set spark.featlake.mounted if all do")
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="featlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="featlake-")
+    return _OWN[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,6 +69,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the settled tables and scratch files of this application; frames that read them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    for kind in ("settled", "scratch"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{kind}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path in the shared folder for files that a query writes and reads back."""
     return f"{shared_folder(spark)}/scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"

@@ -87,9 +87,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"))
 
 
-def preds(spark: SparkSession, sf: str, models: int = 5) -> DataFrame:
-    """Predictions of several models: the target moved by a fixed hash of (item, model)."""
-    out = ads(spark, sf, "item_id", "category_name", "param_2", "price", "target", "split", "fold")
+def preds(spark: SparkSession, sf: str, models: int = 5, *more: str) -> DataFrame:
+    """Predictions of several models: the target moved by a fixed hash of (item, model); ``more`` names further listing columns."""
+    out = ads(spark, sf, "item_id", "target", "split", "fold", *more)
     for m in range(1, models + 1):
         noise = f"(pmod({hash60(f'concat(item_id, {chr(39)}-m{m}{chr(39)})')}, 1000) / 1000.0D - 0.5D) * 0.{m}D"
         out = out.withColumn(f"model_{m}", F.expr(f"round(target + {noise}, 4)"))

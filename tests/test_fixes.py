@@ -99,3 +99,14 @@ def test_small_dictionary_stays_a_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+
+
+def test_release_deletes_what_was_settled(spark, tmp_path, monkeypatch):
+    import os
+
+    from featlake import session
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assert session.settle(spark.range(5)).count() == 5
+    assert any(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path) for f in fs)
+    session.release(spark)
+    assert not any(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path) for f in fs)
