@@ -15,8 +15,8 @@ from sentencepiece import sentencepiece_model_pb2
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK = 16_384         # characters of a chunk; longer documents are scanned in parallel
-KNOWN = 400_000        # words whose pieces a worker remembers
+CHUNK = 65_536         # characters of a chunk; longer documents are scanned in parallel
+KNOWN = 250_000        # words and beginnings of words that a worker remembers
 NONE = -np.inf
 
 
@@ -55,17 +55,21 @@ class Pieces:
             node[""] = {}
         self.shown = [bytes([self.values[i]]) if i in self.values else p.replace(BLANK, " ").encode() for i, p in enumerate(self.text)]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.bits = {p: np.array([i], "<i4").tobytes() for p, i in self.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the merges themselves, best score first, then the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max((self.scores.get(a + b, NONE), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == NONE:
-                break
-            i = -best[1]
+        parts, score = list(text), self.scores.get
+        values = [score(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while values and (best := max(values)) > NONE:
+            i = values.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del values[i]
+            if i:
+                values[i - 1] = score(parts[i - 1] + parts[i], NONE)
+            if i < len(values):
+                values[i] = score(parts[i] + parts[i + 1], NONE)
         return parts
 
     def beside(self, a: str, b: str) -> bool:
@@ -73,64 +77,75 @@ class Pieces:
         key = a, b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             got = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
     def packed(self, parts: list[str]) -> bytes:
         """Ids as little-endian numbers of four bytes; a character without piece becomes its bytes."""
-        ids = []
-        for p in parts:
-            i = self.ids.get(p)
-            ids += [i] if i is not None else [self.bytes[b] for b in p.encode()]
-        return np.array(ids, "<i4").tobytes()
+        return b"".join([self.bits.get(p) or np.array([self.bytes[b] for b in p.encode()], "<i4").tobytes() for p in parts])
 
     def spans(self, text: str, at: int) -> list[int]:
         """Ends of the pieces that start at a place."""
         return [e for e in range(at + 1, min(len(text), at + self.longest) + 1) if e == at + 1 or text[at:e] in self.ids]
 
-    def word(self, text: str) -> bytes:
-        """Pieces of one word: at every place the one piece with which the encoding of the text up to there ends."""
+    def word(self, text: str) -> tuple[bytes, str]:
+        """Ids of one word, and its last piece.
+
+        The encoding of a beginning of a word does not depend on what follows, so a word is the encoding of what stands
+        before its last piece, then that piece: of all pieces that end the word, the one that may follow there. Words
+        and beginnings are remembered.
+        """
         got = self.known.get(text)
         if got is not None:
             return got
-        last = [""] * (len(text) + 1)
-        pairs = self.pairs
-        for e in range(1, len(text) + 1):
-            node, s, starts = self.ends, e, []
-            while s:
-                node = node.get(text[s - 1])
-                if node is None:
-                    break
-                s -= 1
-                if "" in node:
-                    starts.append(s)
-            for s in reversed(starts or [e - 1]):
-                piece, before = text[s:e], last[s]
-                if before or not s:
-                    fits = pairs.get((before, piece))
-                    if fits or (fits is None and self.beside(before, piece)):
-                        last[e] = piece
-                        break
-        if not last[-1]:
-            got = self.packed(self.merged(text))
-        else:
-            parts, e = [], len(text)
-            while e:
-                parts.append(last[e])
-                e -= len(last[e])
-            got = self.packed(parts[::-1])
+        if len(text) > 64:
+            return self.long_word(text)
         if len(self.known) >= KNOWN:
             self.known.clear()
+        for s in self.starts(text, len(text)):
+            piece = text[s:]
+            ids, before = self.word(text[:s]) if s else (b"", "")
+            if (before or not s) and self.beside(before, piece):
+                got = ids + self.packed([piece]), piece
+                break
+        else:
+            got = b"", ""  # a beginning in the middle of a character pair that always merges: no piece may end here
         self.known[text] = got
         return got
 
+    def starts(self, text: str, end: int) -> list[int]:
+        """Starts of the pieces that end at a place, the farthest first."""
+        node, s, found = self.ends, end, []
+        while s:
+            node = node.get(text[s - 1])
+            if node is None:
+                break
+            s -= 1
+            if "" in node:
+                found.append(s)
+        found.reverse()
+        return found or [end - 1]
+
+    def long_word(self, text: str) -> tuple[bytes, str]:
+        """The same from the left, for words too long to remember their beginnings."""
+        last = [""] * (len(text) + 1)
+        for e in range(1, len(text) + 1):
+            for s in self.starts(text, e):
+                if (last[s] or not s) and self.beside(last[s], text[s:e]):
+                    last[e] = text[s:e]
+                    break
+        parts, e = [], len(text)
+        while e:
+            parts.append(last[e])
+            e -= len(last[e])
+        return self.packed(parts[::-1]), last[-1]
+
     def run(self, text: str) -> bytes:
-        """Pieces of a text that begins and ends at borders of words."""
-        word = self.word
-        known = self.known.get
-        return b"".join([known(w) or word(w) for w in self.words.findall(text)])
+        """Ids of a text that begins and ends at borders of words."""
+        word, known = self.word, self.known.get
+        return b"".join([(known(w) or word(w))[0] for w in self.words.findall(text)])
 
     # boundary states: the piece that covers the last character before a boundary, as (start, end) relative to it
 
@@ -218,9 +233,11 @@ def at_border(text: str, i: int) -> bool:
     return i in (0, len(text)) or (text[i] == BLANK and text[i - 1] != BLANK)
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``row`` (a struct of all columns but the text), ``text`` and ``ids`` (packed, four bytes each).
 
+    With ``decoded``, the column ``decoded`` holds the text that the ids give, worked out in the same pass.
+
     The ids are those of the model's own encoder. A document of at most ``chunk`` characters is one chunk. Longer ones
     are cut, the chunks spread over tasks; each gives the max-plus matrix between the states at its two boundaries; the
     matrices of a document, in order, tell the state at every boundary; then each chunk is traced back by itself. At the
@@ -233,17 +250,22 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", chunk: i
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     read = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    shape = read.withColumn("ids", F.lit(None).cast("binary")).schema
+    read = read.withColumn("ids", F.lit(None).cast("binary"))
+    if decoded:
+        read = read.withColumn("decoded", F.lit(None).cast("string"))
+    shape, names = read.schema, read.columns
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = [None if t is None else load().run(escaped(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["row", "text", "ids"])
+                back = [pa.array([None if x is None else load().decoded(np.frombuffer(x, "<i4")) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), *back], names)
 
     one = F.col("text").isNull() | (F.char_length("text") < chunk)
-    return read.where(one).mapInArrow(small, shape).unionByName(_parallel(spark, read.where(~one), load, chunk))
+    large = _parallel(spark, read.where(~one).select("row", "text"), load, chunk)
+    return read.where(one).mapInArrow(small, shape).unionByName(decode(large, model) if decoded else large)
 
 
 def _parallel(spark, read: DataFrame, load: Model, chunk: int) -> DataFrame:

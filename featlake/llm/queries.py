@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from featlake.llm import decontaminate, embeddings, simhash, urls, warc
 from featlake.llm.common import table
-from featlake.llm.pieces import BLANK, decode, encode
+from featlake.llm.pieces import BLANK, encode
 from featlake.llm.quality import quality
 from featlake.llm.substring import remove_repeated_words
 from featlake.llm.suffixes import remove_repeated_bytes
@@ -113,11 +113,10 @@ def op9_url_filter(spark, sf_dir):
 
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark, sf_dir):
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    plain = F.xxhash64(F.replace("text", F.lit(BLANK), F.lit(" ")))  # the model writes both as a space
-    shown = decode(encoded.select("row", "ids", F.char_length("text").cast("long").alias("n_chars"), plain.alias("plain")))
-    return shown.select("row.doc_id", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"),
-                        (F.xxhash64("decoded") == F.col("plain")).alias("round_trip"))
+    shown = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    plain = F.replace("text", F.lit(BLANK), F.lit(" "))  # the model writes both as a space
+    return shown.select("row.doc_id", F.char_length("text").cast("long").alias("n_chars"), (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.col("decoded").eqNullSafe(plain).alias("round_trip"))
 
 
 @query("op8_embedding_dedup")
