@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     known = (labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
              .where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y")))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = settle(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
+    texts = settle(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
                    .groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
