@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from featlake.llm.common import components
+from featlake.llm.common import components, spread
 from featlake.session import settle
 
 SHARD = 2048        # vectors of a shard, and of a block of a dense one
 PIVOTS = 32         # cells that one split makes at most
 OVERLAP = 3         # nearest cells that a vector belongs to
-LEVELS = 4          # splits at most; what is still too large then is dense and goes on in blocks
+LEVELS = 3          # splits at most; what is still too large then is dense and goes on in blocks
 SALT = 8192         # vectors that are assigned to cells together
-DEGREE = 32         # neighbours kept by pruning
+DEGREE = 32         # neighbours kept by pruning; as many lead back on average
 NEAR = 64           # nearest vectors that pruning chooses from
 ALPHA = 1.2
-BEAM = 48           # candidates of the greedy search
+BEAM = 24           # candidates of the greedy search
 ENTRIES = 8         # medoids to start from
 SAMPLE = 1000       # vectors whose links are also counted against all others, at most
 
@@ -48,28 +48,25 @@ def pruned(candidates: np.ndarray, sims: np.ndarray, all_sims: np.ndarray, degre
     return out
 
 
-def built(x: np.ndarray) -> np.ndarray:
-    """Graph of one shard: pruned nearest neighbours, with the edges back, pruned again. One row of neighbours a vector."""
+def built(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Graph of one shard: both ends of its edges, the pruned nearest neighbours and the way back to each.
+
+    The way back is kept whole: in a dense group many lists name the same inner vectors, and only the way back leads from
+    there to the outer ones. There are at most ``2 * DEGREE`` edges a vector in all.
+    """
     n = len(x)
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
     near = min(NEAR, n - 1)
     if near < 1:
-        return np.full((n, 1), -1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     top = np.argpartition(-sims, near - 1, axis=1)[:, :near]
     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
     out = pruned(top, np.take_along_axis(sims, top, 1), sims, DEGREE)
     a, d = np.nonzero(out >= 0)
     b = out[a, d]
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = pairs // n, pairs % n
-    order = np.lexsort((-sims[a, b], a))
-    a, b = a[order], b[order]
-    counts = np.bincount(a, minlength=n)
-    place = np.arange(len(a)) - (np.cumsum(counts) - counts)[a]
-    both = np.full((n, counts.max(initial=1)), -1, np.int64)
-    both[a, place] = b
-    return pruned(both, np.where(both >= 0, np.take_along_axis(sims, np.maximum(both, 0), 1), -2), sims, 2 * DEGREE)
+    return pairs // n, pairs % n
 
 
 def medoids(x: np.ndarray, number: int) -> list[int]:
@@ -82,7 +79,7 @@ def medoids(x: np.ndarray, number: int) -> list[int]:
     return chosen
 
 
-def searched(q: np.ndarray, x: np.ndarray, graph: np.ndarray, least: float, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def searched(q: np.ndarray, x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], least: float, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vector) of similarity ``least`` or more that the graph leads to.
 
     Greedy search from the medoids with a beam; then from everything in range on to its neighbours, as long as new ones in
@@ -98,9 +95,22 @@ def searched(q: np.ndarray, x: np.ndarray, graph: np.ndarray, least: float, own:
     sims = np.full((nq, BEAM), -3.0)
     open_ = np.zeros((nq, BEAM), bool)
 
+    order = np.argsort(graph[0], kind="stable")
+    ends = graph[1][order]
+    degree = np.bincount(graph[0], minlength=n)
+    first = np.cumsum(degree) - degree
+
+    def around(qi: np.ndarray, vi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of vectors, each with the query."""
+        group, place = spread(degree[vi])
+        return qi[group], ends[first[vi][group] + place]
+
     def look(qi: np.ndarray, vi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Similarities of pairs not seen before."""
-        flat = np.unique((qi * n + vi)[(vi >= 0) & ~seen[qi, np.maximum(vi, 0)]])
+        flat = qi * n + vi
+        new = np.zeros(nq * n, bool)
+        new[flat[~seen.ravel()[flat]]] = True
+        flat = np.flatnonzero(new)
         qi, vi = flat // n, flat % n
         seen[qi, vi] = True
         s = np.empty(len(qi))
@@ -112,18 +122,24 @@ def searched(q: np.ndarray, x: np.ndarray, graph: np.ndarray, least: float, own:
         return qi, vi, s
 
     def take(qi: np.ndarray, vi: np.ndarray, s: np.ndarray) -> None:
-        """New candidates into the beams."""
+        """New candidates into the beams; of those of one query only as many as a beam holds can matter."""
+        order = np.lexsort((-s, qi))
+        qi, vi, s = qi[order], vi[order], s[order]
         counts = np.bincount(qi, minlength=nq)
+        keep = np.arange(len(qi)) - (np.cumsum(counts) - counts)[qi] < BEAM
+        qi, vi, s = qi[keep], vi[keep], s[keep]
+        counts = np.minimum(counts, BEAM)
         wide = int(counts.max(initial=0))
         if not wide:
             return
         place = np.arange(len(qi)) - (np.cumsum(counts) - counts)[qi]
         more, ms = np.full((nq, wide), -1, np.int64), np.full((nq, wide), -3.0)
         more[qi, place], ms[qi, place] = vi, s
-        allv, alls = np.concatenate([beam, more], 1), np.concatenate([sims, ms], 1)
-        allo = np.concatenate([open_, more >= 0], 1)
+        rows = np.flatnonzero(counts)
+        allv, alls = np.concatenate([beam[rows], more[rows]], 1), np.concatenate([sims[rows], ms[rows]], 1)
+        allo = np.concatenate([open_[rows], more[rows] >= 0], 1)
         keep = np.argsort(-alls, axis=1, kind="stable")[:, :BEAM]
-        beam[:], sims[:], open_[:] = (np.take_along_axis(a, keep, 1) for a in (allv, alls, allo))
+        beam[rows], sims[rows], open_[rows] = (np.take_along_axis(a, keep, 1) for a in (allv, alls, allo))
 
     every = np.arange(nq)
     take(*look(np.repeat(every, len(entry)), np.tile(entry, nq)))
@@ -133,18 +149,18 @@ def searched(q: np.ndarray, x: np.ndarray, graph: np.ndarray, least: float, own:
             break
         at = open_[rows].argmax(axis=1)
         open_[rows, at] = False
-        take(*look(np.repeat(rows, graph.shape[1]), graph[beam[rows, at]].ravel()))
+        take(*look(*around(rows, beam[rows, at])))
     if own is not None:
-        look(np.repeat(every, graph.shape[1]), graph[own].ravel())
+        look(*around(every, own))
     done = np.zeros((nq, n), bool)
     while True:
         qi, vi = np.nonzero(inside & ~done)
         if not len(qi):
             break
         done[qi, vi] = True
-        for at in range(0, len(qi), 1 << 15):
-            part = slice(at, at + (1 << 15))
-            look(np.repeat(qi[part], graph.shape[1]), graph[vi[part]].ravel())
+        for at in range(0, len(qi), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            look(*around(qi[part], vi[part]))
     return np.nonzero(inside)
 
 
@@ -185,7 +201,7 @@ def cells_of(vectors: DataFrame) -> DataFrame:
         if level == LEVELS or sizes.where(F.col("size") > SHARD).isEmpty():
             return settle(ready)
         large = sized.where(F.col("size") > SHARD)
-        wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("size") * OVERLAP / SHARD))
+        wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("size") * 2 * OVERLAP / SHARD))  # cells of half a shard on average
         some = large.where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), F.expr(f"size div {8 * PIVOTS}"))) == 0)
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(level)), "node"))
         pivots = settle(some.withColumn("rank", rank).where(F.col("rank") <= wanted).join(vectors.select("node", "x"), "node")
@@ -198,9 +214,8 @@ def cells_of(vectors: DataFrame) -> DataFrame:
 
 def _edges(t: pa.Table) -> pa.Table:
     nodes = t.column("node").to_numpy()
-    graph = built(matrix(t.column("x")))
-    a, d = np.nonzero(graph >= 0)
-    lists = np.split(nodes[graph[a, d]], np.cumsum(np.bincount(a, minlength=len(nodes)))[:-1])
+    a, b = built(matrix(t.column("x")))
+    lists = np.split(nodes[b], np.cumsum(np.bincount(a, minlength=len(nodes)))[:-1])
     return pa.table([pa.array(nodes), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["node", "near"])
 
 
@@ -217,13 +232,11 @@ def _links(t: pa.Table, least: float) -> pa.Table:
     data = data[order]
     names = nodes[data]
     lists = t.column("near").to_pylist()
-    wide = max(1, max(len(lists[i]) for i in data.tolist()))
-    graph = np.full((len(data), wide), -1, np.int64)
-    for r, i in enumerate(data.tolist()):
-        near = np.array(lists[i], np.int64)
-        place = np.minimum(np.searchsorted(names, near), len(names) - 1)
-        near = place[names[place] == near]  # neighbours from other cells are met there
-        graph[r, :len(near)] = near
+    near = [np.array(lists[i], np.int64) for i in data.tolist()]
+    a, b = np.repeat(np.arange(len(data)), [len(x) for x in near]), np.concatenate(near)
+    place = np.minimum(np.searchsorted(names, b), len(names) - 1)
+    here = names[place] == b  # neighbours from other cells are met there
+    graph = a[here], place[here]
     if own:
         query = data
     a, b = searched(x[query], x[data], graph, least, np.arange(len(data)) if own else None)
