@@ -83,4 +83,5 @@ def test_empty(spark):
         assert stage(spark, frame(spark, []), sf).count() == 0
     odd = frame(spark, [(1, None), (2, ""), (None, None), (2, "")])
     for _, stage in pipeline.STAGES:
-        assert stage(spark, odd, sf).count() >= 3
+        # texts without words are near copies of each other, so one of those with an id stays there
+        assert stage(spark, odd, sf).count() == (2 if stage is pipeline.drop_near_copies else 4)
