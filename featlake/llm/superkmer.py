@@ -6,8 +6,8 @@ Both exact-repeat operators (windows of words, runs of bytes) share one flow:
    document by batch and place.
 2. *announce*: the consecutive windows of ``k`` tokens that share a minimiser (the least scrambled hash of the window's
    ``m``-token pieces) form a super-k-mer. Equal windows have equal minimisers, so only super-k-mers whose minimiser a
-   second document also has can matter. A batch sends its distinct minimisers, packed, to their buckets and gets back
-   those that others have too.
+   second document also has can matter. A batch sends its distinct minimisers, packed and with a mark on those that two
+   of its own documents have, to their buckets and gets back those that are marked or that others have too.
 3. *buckets*: these super-k-mers travel as packed strings to the bucket of their minimiser. One that a smaller document
    of the same chunk of a batch also holds is settled before and travels without its text, so a group of copies costs
    one string for each chunk. A bucket finds, for every window, the smallest document that has it; how is what the two operators
@@ -221,24 +221,43 @@ def by_head(rows: np.ndarray) -> Iterator[np.ndarray]:
     return (p for p in np.split(rows, np.flatnonzero(np.diff(rows >> 32)) + 1) if len(p))
 
 
+def owned(home: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct homes in order, with the smallest and the largest document that has each."""
+    order = np.argsort(home, kind="stable")
+    home = home[order]
+    heads = np.flatnonzero(np.diff(home, prepend=-1))
+    if not len(heads):
+        return home, least, most
+    return home[heads], np.minimum.reduceat(least[order], heads), np.maximum.reduceat(most[order], heads)
+
+
 def announce(batches: Iterator[pa.RecordBatch], method: Method, buckets: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for batch, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            found = [np.zeros(0, np.int64)]
-            for held in pieces_of(opened_batch(blob.as_py()), method):
+            docs = opened_batch(blob.as_py())
+            ids = docs.column("id").fill_null(NEVER).to_numpy()
+            found = [(np.zeros(0, np.int64),) * 3]
+            for held in pieces_of(docs, method):
                 tok = method.tokenise([x[2] for x in held])
-                found.append(np.unique(homes(superkmers(tok, method.k, method.m)[2], buckets)))
-            parts = list(by_head(np.unique(np.concatenate(found))))
+                first, _, value = superkmers(tok, method.k, method.m)
+                piece = np.searchsorted(np.cumsum(tok.counts) - tok.counts, first, side="right") - 1
+                owner = ids[np.array([x[0] for x in held], np.int64)[piece]]
+                found.append(owned(homes(value, buckets), owner, owner))
+            home, least, most = owned(*map(np.concatenate, zip(*found, strict=True)))  # over all chunks of the batch
+            parts = list(by_head(home))
+            marks = np.split(least < most, np.cumsum([len(p) for p in parts])[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> 32) for p in parts], pa.int32()), pa.array([batch] * len(parts), pa.int64()),
-                                              pa.array([pack(np.diff(p & 0xFFFFFFFF, prepend=0).astype(np.uint32)) for p in parts], pa.binary())], ["bucket", "batch", "tags"])
+                                              pa.array([pack(np.diff(p & 0xFFFFFFFF, prepend=0).astype(np.uint32), np.packbits(m)) for p, m in zip(parts, marks, strict=False)], pa.binary())],
+                                             ["bucket", "batch", "tags"])
 
 
 def in_several(t: pa.Table) -> pa.Table:
-    """Of the tags announced to one bucket, those of more than one batch, sent back to each of them."""
+    """Of the tags announced to one bucket, those of more than one batch or marked by one, sent back to each that has them."""
     bucket = t.column("bucket")[0].as_py()
-    tags = [np.cumsum(unpack(x)[0].astype(np.int64)) for x in t.column("tags").to_pylist()]
+    sent = [unpack(x) for x in t.column("tags").to_pylist()]
+    tags = [np.cumsum(x.astype(np.int64)) for x, _ in sent]
     every, n = np.unique(np.concatenate(tags), return_counts=True)
-    many = every[n > 1]
+    many = np.union1d(every[n > 1], np.concatenate([x[np.unpackbits(m, count=len(x)).astype(bool)] for x, (_, m) in zip(tags, sent, strict=True)]))
     mine = [x[np.isin(x, many, assume_unique=True)] for x in tags]
     return pa.table([t.column("batch"), pa.array([pack(np.array([bucket], np.int64), x.astype(np.uint32)) for x in mine], pa.binary())], ["batch", "tags"])
 
@@ -274,10 +293,7 @@ def _packed(held: list, ids: np.ndarray, told: np.ndarray, method: Method, bucke
     if not len(heads):
         return
     owner = ids[places[piece]]
-    many = np.minimum.reduceat(owner[order], heads) < np.maximum.reduceat(owner[order], heads)
-    if len(told):
-        head = home[order][heads]
-        many |= told[np.minimum(np.searchsorted(told, head), len(told) - 1)] == head
+    many = np.isin(home[order][heads], told)
     order = order[np.repeat(many, np.diff(np.append(heads, len(order))))]
     if not len(order):
         return

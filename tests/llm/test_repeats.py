@@ -97,6 +97,24 @@ def test_long_texts_in_pieces(monkeypatch, mod, k, cut, join):
         assert {i: len(x) for i, x in hit.items()} == {i: n for i, _, n, _, _ in brute(texts, k, cut, join) if n}
 
 
+@pytest.mark.parametrize("mod", [substring, suffixes])
+def test_repeats_between_chunks_of_one_batch(spark, mod):
+    """The first text fills a chunk of 2 MB by itself; the batch goes on with a second chunk, and no other batch holds the passages."""
+    r = random.Random(12)
+    pair, three = (" ".join(f"{r.getrandbits(40):x}" for _ in range(20)) for _ in range(2))
+    long = " ".join(f"{r.getrandbits(60):x}" for _ in range(150_000))
+    assert len(long) > superkmer.CHUNK and len(long) < superkmer.BATCH - 10_000
+    texts = [(1, f"{pair}<{three}>{long}"), (2, f"2{three}?"), (3, f"3 {pair};{three}."), (4, long[-2000:-1000])]
+    op = substring.remove_repeated_words if mod is substring else suffixes.remove_repeated_bytes
+    got = {i: (n, runs) for i, _, n, runs, _ in result(op(frame(spark, texts, 1).coalesce(1)))}
+    if mod is substring:  # the words at the border of two passages differ
+        want = {i: (n, runs) for i, _, n, runs, _ in brute(texts, 13, words, b" ".join)}
+        assert want[2] == (18, 1) and want[3] == (19 + 18, 2)
+    else:
+        want = {1: (0, 0), 2: (len(three), 1), 3: (len(pair) + len(three), 2), 4: (1000, 1)}
+    assert got == want
+
+
 def test_empty_and_clashing_columns(spark):
     for op in (substring.remove_repeated_words, suffixes.remove_repeated_bytes):
         empty = op(frame(spark, []))
