@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, embeddings, simhash, urls, warc
+from featlake.llm import decontaminate, embeddings, simhash, spelling, urls, warc
 from featlake.llm.common import table
 from featlake.llm.pieces import BLANK, encode
 from featlake.llm.quality import quality
@@ -122,3 +122,32 @@ def op7_sentencepiece(spark, sf_dir):
 @query("op8_embedding_dedup")
 def op8_embedding_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13 = f"""
+WITH RECURSIVE
+     run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+     seen AS (SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= {spelling.SHORTEST} GROUP BY ALL),
+     poly AS (SELECT 3988292384::BIGINT AS p),
+     crc AS (SELECT k::BIGINT AS k, list_reduce([k::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, p) ELSE c >> 1 END) AS v FROM range(256) t(k), poly),
+     tab AS (SELECT list(v ORDER BY k) AS t FROM crc),
+     bytes AS (SELECT doc_id, r, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+                      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM seen),
+     summed AS (SELECT r, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, tab),
+     word AS (SELECT CASE WHEN h % {spelling.DROP} = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM summed),
+     vocab AS (SELECT word, sum(n)::BIGINT AS n FROM word WHERE length(word) >= {spelling.SHORTEST} GROUP BY 1 HAVING sum(n) >= {spelling.FEWEST}),
+     cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM vocab, unnest(range(1, length(word) + 1)) AS t(i)),
+     near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT c.word, v.word, v.n FROM cut c JOIN vocab v ON v.word = c.rest
+              UNION SELECT v.word, c.word, c.n FROM cut c JOIN vocab v ON v.word = c.rest),
+     best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY 1),
+     form AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 2 * v.n THEN b.m END AS form_n,
+                     CASE WHEN b.m >= 2 * v.n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.m = b.m) END AS form FROM vocab v LEFT JOIN best b USING (word)),
+     walk AS (SELECT word, word AS tip, 0 AS step FROM form UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN form f ON f.word = w.tip WHERE f.form IS NOT NULL),
+     last AS (SELECT word, arg_max(tip, step) AS root FROM walk GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)"""
+
+
+@query("op13_spelling_variants", OP13)
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
