@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, embeddings, simhash, spelling, urls, warc
+from featlake.llm import decontaminate, embeddings, maxent, simhash, spelling, urls, warc, whitening
 from featlake.llm.common import table
 from featlake.llm.pieces import BLANK, encode
 from featlake.llm.quality import quality
@@ -151,3 +151,13 @@ SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)"""
 @query("op13_spelling_variants", OP13)
 def op13_spelling_variants(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_maxent_score")
+def op11_maxent_score(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
