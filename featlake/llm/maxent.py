@@ -38,7 +38,7 @@ BITS = 19  # 2^BITS rows of weights: bounds the model's memory, 33 MB
 RATE = 0.35
 ROUNDS = 2
 MINI = 8_192  # tokens of a gradient step
-LEARNER_TOKENS = 1 << 24  # training tokens of a learner, about
+LEARNER_TOKENS = 1 << 22  # training tokens of a learner, about
 
 
 def remainder(ident: Column) -> Column:
@@ -191,9 +191,9 @@ def expanded(model: Model, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def softmax(model: Model, rows: np.ndarray, node: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of all ways, and the log of that taken."""
-    z = model.tree.prior[node]
+    z = model.tree.prior.take(node, axis=0)
     for f in range(rows.shape[1]):
-        z += model.weights[rows[:, f]]
+        z += model.weights.take(rows[:, f], axis=0)
     z -= z.max(axis=1, keepdims=True)
     taken = z[np.arange(len(z)), way].astype(np.float64)
     np.exp(z, out=z)
@@ -211,14 +211,23 @@ def learn(model: Model, word: np.ndarray, before: np.ndarray, before2: np.ndarra
     slope, _ = softmax(model, rows, node, way)
     slope[np.arange(len(way)), way] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    sort = flat[order]
+    order = np.argsort(flat)
+    sort = flat.take(order)
     starts = np.flatnonzero(np.r_[True, sort[1:] != sort[:-1]])
-    row = sort[starts]
-    total = np.add.reduceat(slope[order // rows.shape[1]], starts, axis=0)
-    met[row] += np.diff(np.r_[starts, len(sort)]).astype(np.float32)
-    model.history[row] += (total * total).mean(axis=1)
-    model.weights[row] -= RATE * total / np.sqrt(model.history[row])[:, None]
+    times = np.diff(np.r_[starts, len(sort)])
+    row, order = sort.take(starts), order // rows.shape[1]
+    total = slope.take(order.take(starts), axis=0)
+    many = np.flatnonzero(times > 1)  # most rows are met once; only the others are added up
+    if len(many):
+        size = times.take(many)
+        first = np.cumsum(size) - size
+        at = np.repeat(starts.take(many) - first, size) + np.arange(size.sum())
+        total[many] = np.add.reduceat(slope.take(order.take(at), axis=0), first, axis=0)
+    met[row] += times
+    history = model.history.take(row) + np.einsum("ij,ij->i", total, total) / WAYS
+    model.history[row] = history
+    total *= (RATE / np.sqrt(history))[:, None]
+    model.weights[row] = model.weights.take(row, axis=0) - total
 
 
 @dataclass
