@@ -1,13 +1,13 @@
 """A hashed maximum-entropy language model.
 
 Words are leaves of a tree of classes with ``WAYS`` ways each, so the probability of a word is a product of small softmaxes, one for each class
-on the way to it. A softmax adds up a prior, and one row of ``WAYS`` weights for each feature of the context: the word before, the two before, and
-the one before the last (a skip). Rows are found by hashing the feature with the class. The prior gives each word
+on the way to it. A softmax adds up a prior, and one row of ``WAYS`` weights for each feature of the context: the word before and, in the first ``WIDE`` classes
+of the way, the two before and the one before the last (a skip). Rows are found by hashing the feature with the class. The prior gives each word
 its add-half share of the training tokens, so a model without weights is the base model, and weights tell what the context changes.
 
 Training is rounds of gradient steps. In a round each learner goes once over its documents, in small batches of sparse gradients
 scaled by their history, from the same weights; Spark then averages each row over the learners by the number of times they
-met it. All words of the corpus are counted. The most frequent ones, at most ``HEAD``, have leaves of their own; all others share
+met it, a few learners at a time. All words of the corpus are counted. The most frequent ones, at most ``HEAD``, have leaves of their own; all others share
 one leaf and, within it, their add-half shares, which a join finds for them.
 """
 
@@ -17,10 +17,11 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,11 @@ WAYS = 16
 BITS = 19  # 2^BITS rows of weights: bounds the model's memory, 33 MB
 RATE = 0.35
 ROUNDS = 2
+WIDE = 2  # classes on the way to a word that see all features
+SLICE = 4_096  # rows of weights that are handed on together
+FAN = 32  # learners whose rows are averaged by one task
 MINI = 8_192  # tokens of a gradient step
-LEARNER_TOKENS = 1 << 22  # training tokens of a learner, about
+LEARNER_TOKENS = 1 << 23  # training tokens of a learner, about
 
 
 def remainder(ident: Column) -> Column:
@@ -172,62 +176,86 @@ def ids_of(model: Model) -> dict[bytes, int]:
     return _IDS[model.key]
 
 
-def spots(model: Model, before: np.ndarray, before2: np.ndarray, token: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Row of weights of each feature for each (token, class) pair."""
-    a, b = before.astype(U64) + U64(1), before2.astype(U64) + U64(1)
-    features = np.stack([mixed(a), mixed((a << U64(24)) + b), mixed((b << U64(24)) + (U64(1) << U64(60)))], axis=1)
-    h = (features[token] ^ (node.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]) * U64(0xD1342543DE82EF95)
-    return ((h ^ (h >> U64(32))) * U64(0x9E3779B97F4A7C15) >> U64(64 - model.bits)).astype(np.int64)
+@dataclass
+class Steps:
+    """The classes on the ways to some words, the first of each word before the second, and so on.
+
+    ``row`` has the rows of weights of the word before, for each class, then those of the other two features, for the first ``wide`` classes each.
+    """
 
+    token: np.ndarray
+    node: np.ndarray
+    way: np.ndarray
+    wide: int
+    row: np.ndarray
 
-def expanded(model: Model, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all classes on the ways to the given words: place of the word, class, and way."""
+
+def steps(model: Model, word: np.ndarray, before: np.ndarray, before2: np.ndarray) -> Steps:
     t = model.tree
-    length = t.length[word]
-    token = np.repeat(np.arange(len(word)), length)
-    at = t.start[word][token] + np.arange(len(token)) - (np.cumsum(length) - length)[token]
-    return token, t.node[at], t.way[at]
-
-
-def softmax(model: Model, rows: np.ndarray, node: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of all ways, and the log of that taken."""
-    z = model.tree.prior.take(node, axis=0)
-    for f in range(rows.shape[1]):
-        z += model.weights.take(rows[:, f], axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    taken = z[np.arange(len(z)), way].astype(np.float64)
+    token, at, wide, open_ = [], [], 0, np.flatnonzero(t.length.take(word))
+    level = 0
+    while len(open_):
+        token.append(open_)
+        at.append(t.start.take(word.take(open_)) + level)
+        level += 1
+        wide += len(open_) * (level <= WIDE)
+        open_ = open_[t.length.take(word.take(open_)) > level]
+    if not token:
+        none = np.zeros(0, np.int64)
+        return Steps(none, none, none, 0, none)
+    token, at = np.concatenate(token), np.concatenate(at)
+    node = t.node.take(at)
+    a, b = before.astype(U64) + U64(1), before2.astype(U64) + U64(1)
+    feature = [mixed(a), mixed((a << U64(24)) + b), mixed((b << U64(24)) + (U64(1) << U64(60)))]
+    salt = node.astype(U64) * U64(0x9E3779B97F4A7C15)
+    row = np.concatenate([feature[0].take(token) ^ salt, feature[1].take(token[:wide]) ^ salt[:wide], feature[2].take(token[:wide]) ^ salt[:wide]])
+    row *= U64(0xD1342543DE82EF95)
+    row ^= row >> U64(32)
+    row *= U64(0x9E3779B97F4A7C15)
+    row >>= U64(64 - model.bits)
+    return Steps(token, node, t.way.take(at), wide, row.view(np.int64))
+
+
+def weighed(model: Model, s: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each step the weights of all ways as exponentials, their sum, and the log of the probability of the way taken."""
+    z, n = model.tree.prior.take(s.node, axis=0), len(s.node)
+    z += model.weights.take(s.row[:n], axis=0)
+    z[:s.wide] += model.weights.take(s.row[n:n + s.wide], axis=0)
+    z[:s.wide] += model.weights.take(s.row[n + s.wide:], axis=0)
+    np.minimum(z, 60, out=z)  # far above what training reaches; exp stays finite
+    taken = z.ravel().take(np.arange(n) * WAYS + s.way).astype(np.float64)
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return z, taken - np.log(total[:, 0])
+    total = z @ np.ones(WAYS, np.float32)
+    return z, total, taken - np.log(total)
 
 
 def learn(model: Model, word: np.ndarray, before: np.ndarray, before2: np.ndarray, met: np.ndarray) -> None:
     """One gradient step on a batch of tokens; ``met`` counts how often a row was used."""
-    token, node, way = expanded(model, word)
-    if not len(token):
+    s = steps(model, word, before, before2)
+    n = len(s.node)
+    if not n:
         return
-    rows = spots(model, before, before2, token, node)
-    slope, _ = softmax(model, rows, node, way)
-    slope[np.arange(len(way)), way] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    sort = flat.take(order)
+    slope, total, _ = weighed(model, s)
+    slope *= (1 / total)[:, None]
+    slope.ravel()[np.arange(n) * WAYS + s.way] -= 1
+    order = np.argsort(s.row)
+    sort = s.row.take(order)
     starts = np.flatnonzero(np.r_[True, sort[1:] != sort[:-1]])
     times = np.diff(np.r_[starts, len(sort)])
-    row, order = sort.take(starts), order // rows.shape[1]
-    total = slope.take(order.take(starts), axis=0)
+    row = sort.take(starts)
+    of = np.concatenate([np.arange(n), np.arange(s.wide), np.arange(s.wide)]).take(order)  # the step of each use
+    sums = slope.take(of.take(starts), axis=0)
     many = np.flatnonzero(times > 1)  # most rows are met once; only the others are added up
     if len(many):
         size = times.take(many)
         first = np.cumsum(size) - size
         at = np.repeat(starts.take(many) - first, size) + np.arange(size.sum())
-        total[many] = np.add.reduceat(slope.take(order.take(at), axis=0), first, axis=0)
+        sums[many] = np.add.reduceat(slope.take(of.take(at), axis=0), first, axis=0)
     met[row] += times
-    history = model.history.take(row) + np.einsum("ij,ij->i", total, total) / WAYS
+    history = model.history.take(row) + np.einsum("ij,ij->i", sums, sums) / WAYS
     model.history[row] = history
-    total *= (RATE / np.sqrt(history))[:, None]
-    model.weights[row] = model.weights.take(row, axis=0) - total
+    sums *= (RATE / np.sqrt(history))[:, None]
+    model.weights[row] = model.weights.take(row, axis=0) - sums
 
 
 @dataclass
@@ -270,9 +298,9 @@ def coded(text: bytes | None, ids: dict[bytes, int], rare: int) -> Iterator[tupl
 
 
 def learned(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Texts as rows (row, n, history, w0, ...): the weights a learner changed, times how often it met them."""
+    """Texts as (slice, learner, rows): what a learner made of each slice of the weights, packed."""
     ids, met = ids_of(model), np.zeros(1 << model.bits, np.float32)
-    model = Model(model.words, model.n, model.tokens, model.types, model.tree, model.bits, model.weights.copy(), model.history.copy(), model.key)
+    model = replace(model, weights=model.weights.copy(), history=model.history.copy())
     old = model.history.copy()
     held = Pending()
     for batch in batches:
@@ -285,12 +313,34 @@ def learned(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     if held.size:
         for word, before, before2, _row in held.take():
             learn(model, word, before, before2, met)
-    rows = np.flatnonzero(met)
-    for at in range(0, len(rows), 20_000):
-        r = rows[at:at + 20_000]
-        w = model.weights[r] * met[r][:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(met[r]), pa.array(model.history[r] - old[r]), *[pa.array(np.ascontiguousarray(w[:, i])) for i in range(WAYS)]],
-                                         ["row", "n", "history", *[f"w{i}" for i in range(WAYS)]])
+    learner = TaskContext.get().partitionId()
+    for i in range(0, len(met), SLICE):
+        row = np.flatnonzero(met[i:i + SLICE])
+        if len(row):
+            got = packed(row, met[i + row], model.history[i + row] - old[i + row], model.weights[i + row])
+            yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([learner], pa.int32()), pa.array([got], pa.binary())], ["slice", "learner", "rows"])
+
+
+def packed(row: np.ndarray, met: np.ndarray, history: np.ndarray, weights: np.ndarray) -> bytes:
+    return row.astype(np.int32).tobytes() + np.column_stack([met, history, weights]).astype(np.float32).tobytes()
+
+
+def unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(rows) // (4 * (3 + WAYS))
+    return np.frombuffer(rows, np.int32, n), np.frombuffer(rows, np.float32, offset=4 * n).reshape(n, 2 + WAYS)
+
+
+def averaged(t: pa.Table) -> pa.Table:
+    """Rows of several learners as one: weights by how often they were met, histories added up."""
+    total = np.zeros((SLICE, 2 + WAYS))
+    for rows in t.column("rows"):
+        row, v = unpacked(rows.as_py())
+        v = v.astype(np.float64)
+        total[row, :2] += v[:, :2]
+        total[row, 2:] += v[:, 2:] * v[:, :1]
+    row = np.flatnonzero(total[:, 0])
+    got = packed(row, total[row, 0], total[row, 1], total[row, 2:] / total[row, :1])
+    return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([t.column("learner")[0].as_py() // FAN], pa.int32()), pa.array([got], pa.binary())], ["slice", "learner", "rows"])
 
 
 def train(texts: DataFrame, known: DataFrame, head: int = HEAD, bits: int = BITS, rounds: int = ROUNDS) -> Model:
@@ -321,14 +371,20 @@ def train(texts: DataFrame, known: DataFrame, head: int = HEAD, bits: int = BITS
     for turn in range(rounds if n else 0):
         sent = spark.sparkContext.broadcast(model)
         some = texts.where(F.pmod(F.xxhash64(f"`{column}`"), rounds) == turn).coalesce(learners)
-        schema = "row int, n float, history float, " + ", ".join(f"w{i} float" for i in range(WAYS))
+        schema = "slice int, learner int, rows binary"
         parts = some.mapInArrow(lambda it, sent=sent: learned(it, sent.value), schema)
-        total = parts.groupBy("row").agg(F.sum("n").cast("float").alias("n"), F.sum("history").cast("float").alias("history"), *[F.sum(f"w{i}").cast("float").alias(f"w{i}") for i in range(WAYS)])
-        got = total.toArrow()
-        row, times = got.column("row").to_numpy(), got.column("n").to_numpy()
-        model.history[row] += got.column("history").to_numpy()
-        for i in range(WAYS):
-            model.weights[row, i] = got.column(f"w{i}").to_numpy() / times
+        left = learners
+        while True:  # no task averages more than FAN learners
+            parts = parts.groupBy("slice", F.expr(f"learner div {FAN}").alias("team")).applyInArrow(averaged, schema)
+            left = -(-left // FAN)
+            if left == 1:
+                break
+            parts = settle(parts)
+        for r in parts.select("slice", "rows").collect():
+            row, v = unpacked(r["rows"])
+            row = row + r["slice"] * SLICE
+            model.history[row] += v[:, 1]
+            model.weights[row] = v[:, 2:]
         sent.destroy()
     model.key = uuid.uuid4().hex
     return model
@@ -349,10 +405,9 @@ def scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
         def work() -> None:
             for word, before, before2, row in held.take():
-                token, node, way = expanded(model, word)
-                if len(token):
-                    _, log = softmax(model, spots(model, before, before2, token, node), node, way)
-                    best[:] += np.bincount(row[token], log, m)
+                s = steps(model, word, before, before2)
+                if len(s.node):
+                    best[:] += np.bincount(row[s.token], weighed(model, s)[2], m)
                 plain[:] += np.bincount(row, base[word], m)
                 tokens[:] += np.bincount(row, minlength=m)
                 heads[:] += np.bincount(row, word < model.rare, m).astype(np.int64)

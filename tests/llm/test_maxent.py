@@ -90,9 +90,8 @@ def small_model(seed=0, size=70, bits=8):
 
 
 def logs(model, word, before, before2):
-    token, node, way = maxent.expanded(model, word)
-    rows = maxent.spots(model, before, before2, token, node)
-    return np.bincount(token, maxent.softmax(model, rows, node, way)[1], len(word))
+    s = maxent.steps(model, word, before, before2)
+    return np.bincount(s.token, maxent.weighed(model, s)[2], len(word))
 
 
 @pytest.mark.parametrize("size", [0, 1, 5, 70, 3000])
@@ -146,10 +145,30 @@ def test_scores_by_hand(spark):
         want, last = 0.0, [model.rare + 1] * 2
         for token in tokens_of(rows[i][1]):
             w = ids.get(token.encode(), model.rare)
-            for k in range(t.start[w], t.start[w] + t.length[w]):
-                spot = maxent.spots(model, np.array([last[1]]), np.array([last[0]]), np.array([0]), t.node[k:k + 1])[0]
+            s = maxent.steps(model, np.array([w]), np.array([last[1]]), np.array([last[0]]))
+            for level, k in enumerate(range(t.start[w], t.start[w] + t.length[w])):
+                n = int(t.length[w])
+                spot = [s.row[level]] + ([s.row[n + level], s.row[n + s.wide + level]] if level < 2 else [])
                 z = t.prior[t.node[k]].astype(float) + model.weights[spot].sum(axis=0)
                 want += z[t.way[k]] - np.log(np.exp(z - z.max()).sum()) - z.max()
             last = [last[1], w]
         assert out.column(5)[i].as_py() == pytest.approx(want / math.log(10), rel=1e-4)
         assert sorted(out.column(6)[i].as_py()) == sorted(x.encode() for x in tokens_of(rows[i][1]) if x.encode() not in ids)
+
+
+def test_learners_are_averaged_by_use(spark, monkeypatch):
+    """Many small learners in teams: each row is the mean of its learners' weights by the times they met it."""
+    monkeypatch.setattr(maxent, "FAN", 3)
+    rng = np.random.default_rng(1)
+    made = []
+    for learner in range(11):
+        row = np.flatnonzero(rng.random(maxent.SLICE) < 0.01)
+        made.append((row, rng.integers(1, 9, len(row)).astype(np.float32), rng.random(len(row)).astype(np.float32), rng.standard_normal((len(row), maxent.WAYS)).astype(np.float32)))
+    tables = [pa.table([pa.array([0], pa.int32()), pa.array([i], pa.int32()), pa.array([maxent.packed(*m)], pa.binary())], ["slice", "learner", "rows"]) for i, m in enumerate(made)]
+    while len(tables) > 1:
+        tables = [maxent.averaged(pa.concat_tables(tables[i:i + 3])) for i in range(0, len(tables), 3)]
+    row, v = maxent.unpacked(tables[0].column("rows")[0].as_py())
+    for r, got in zip(row, v):
+        mine = [(m[1][m[0] == r][0], m[2][m[0] == r][0], m[3][m[0] == r][0]) for m in made if (m[0] == r).any()]
+        assert got[0] == pytest.approx(sum(n for n, _, _ in mine)) and got[1] == pytest.approx(sum(h for _, h, _ in mine), rel=1e-5)
+        assert np.allclose(got[2:], sum(n * w for n, _, w in mine) / sum(n for n, _, _ in mine), atol=1e-5)
