@@ -16,7 +16,7 @@ from featlake.session import settle
 SHARD = 2048        # vectors of a shard, and of a block of a dense one
 PIVOTS = 32         # cells that one split makes at most
 OVERLAP = 3         # nearest cells that a vector belongs to
-LEVELS = 3          # splits at most; what is still too large then is dense and goes on in blocks
+SHRINK = 0.7        # a cell above this share of the one it was split from is dense, and goes on in blocks
 SALT = 8192         # vectors that are assigned to cells together
 DEGREE = 32         # neighbours kept by pruning; as many lead back on average
 NEAR = 64           # nearest vectors that pruning chooses from
@@ -179,28 +179,30 @@ def _assign(pivots: pa.Table, vectors: pa.Table) -> pa.Table:
     k = min(OVERLAP, len(p))
     near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k]
     names = np.array(pivots.column("node").to_pylist())[near]
-    cells = [f"{c}/{i}" for c, row in zip(vectors.column("cell").to_pylist(), names.tolist(), strict=True) for i in row]
+    parents = vectors.column("cell").to_pylist()
+    cells = [f"{c}/{i}" for c, row in zip(parents, names.tolist(), strict=True) for i in row]
     nodes = np.repeat(vectors.column("node").to_numpy(), k)
-    return pa.table([pa.array(nodes), pa.array(cells)], ["node", "cell"])
+    return pa.table([pa.array(nodes), pa.array([c for c in parents for _ in range(k)], pa.string()), pa.array(cells, pa.string())], ["node", "parent", "cell"])
 
 
 def cells_of(vectors: DataFrame) -> DataFrame:
     """(node, cell, parts): overlapping cells of the vectors of each class ``kind``; ``parts`` blocks hold a cell.
 
     A cell above ``SHARD`` is split: some of its vectors (those with the least hashes, ``PIVOTS`` at most) are pivots, and
-    each vector joins the cells of its ``OVERLAP`` nearest ones. A cell that is as large after ``LEVELS`` splits is dense.
+    each vector joins the cells of its ``OVERLAP`` nearest ones. This goes on until a split no longer makes cells smaller.
     """
-    at = settle(vectors.select("node", F.col("kind").alias("cell")))
-    ready = None
-    for level in range(LEVELS + 1):
-        sizes = settle(at.groupBy("cell").agg(F.count("*").alias("size")))
-        sized = at.join(sizes, "cell")
-        done = sized if level == LEVELS else sized.where(F.col("size") <= SHARD)
-        done = done.select("node", "cell", F.ceil(F.col("size") / SHARD).cast("int").alias("parts"))
+    at = settle(vectors.select("node", F.col("kind").alias("cell"), F.lit(None).cast("long").alias("before")))
+    ready, level = None, 0
+    while True:
+        sizes = settle(at.groupBy("cell").agg(F.count("*").alias("size"), F.max("before").alias("before")))
+        dense = (F.col("size") <= SHARD) | (F.col("size") > SHRINK * F.col("before"))
+        sizes = sizes.withColumn("done", F.coalesce(dense, F.lit(False)))
+        sized = at.drop("before").join(sizes, "cell")
+        done = sized.where("done").select("node", "cell", F.ceil(F.col("size") / SHARD).cast("int").alias("parts"))
         ready = done if ready is None else ready.unionByName(done)
-        if level == LEVELS or sizes.where(F.col("size") > SHARD).isEmpty():
+        if sizes.where("not done").isEmpty():
             return settle(ready)
-        large = sized.where(F.col("size") > SHARD)
+        large = sized.where("not done")
         wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("size") * 2 * OVERLAP / SHARD))  # cells of half a shard on average
         some = large.where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), F.expr(f"size div {8 * PIVOTS}"))) == 0)
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(level)), "node"))
@@ -208,8 +210,9 @@ def cells_of(vectors: DataFrame) -> DataFrame:
                         .select("cell", "node", "x", F.explode(F.sequence(F.lit(0), F.expr(f"cast(size div {SALT} as int)"))).alias("salt")))
         salted = large.join(vectors.select("node", "x"), "node").select(
             "node", "cell", "x", F.pmod(F.xxhash64("node", F.lit("salt")), F.expr(f"size div {SALT} + 1")).cast("int").alias("salt"))
-        at = settle(pivots.groupBy("cell", "salt").cogroup(salted.groupBy("cell", "salt")).applyInArrow(_assign, "node long, cell string"))
-    return ready
+        split = pivots.groupBy("cell", "salt").cogroup(salted.groupBy("cell", "salt")).applyInArrow(_assign, "node long, parent string, cell string")
+        at = settle(split.join(sizes.select(F.col("cell").alias("parent"), F.col("size").alias("before")), "parent").select("node", "cell", "before"))
+        level += 1
 
 
 def _edges(t: pa.Table) -> pa.Table:
@@ -220,12 +223,12 @@ def _edges(t: pa.Table) -> pa.Table:
 
 
 def _links(t: pa.Table, least: float) -> pa.Table:
-    """Search of one block of a cell for the vectors of one block (its own or another)."""
+    """Search of one block of a cell for the vectors of one block (its own or another): pairs that hang together what is linked."""
     role = np.array(t.column("query").to_pylist(), bool)
     nodes, x = t.column("node").to_numpy(), matrix(t.column("x"))
     own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
     data, query = (np.flatnonzero(~role), np.flatnonzero(~role if own else role))
-    nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], ["node", "links"])
+    nothing = pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
     if not len(data) or not len(query):
         return nothing
     order = np.argsort(nodes[data], kind="stable")
@@ -242,23 +245,70 @@ def _links(t: pa.Table, least: float) -> pa.Table:
     a, b = searched(x[query], x[data], graph, least, np.arange(len(data)) if own else None)
     if not len(a):
         return nothing
-    a, b = nodes[query[a]], names[b]
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    heads, first = np.unique(pairs[:, 0], return_index=True)
-    return pa.table([pa.array(heads), pa.array([p.tolist() for p in np.split(pairs[:, 1], first[1:])], pa.list_(pa.int64()))], ["node", "links"])
+    a, b = hung(nodes[query[a]], names[b])
+    return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def hung(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the given pairs with the smallest node that pairs lead to."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[:len(a)], place[len(a):]
+    root = np.arange(len(names))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return names[other], names[root[other]]
+
+
+def _counted(t: pa.Table, least: float) -> pa.Table:
+    """Vectors of whole components, or of two tiles of one, as (node, near, more): how many it is linked with, different ones and with their copies."""
+    x, root, side, copies = matrix(t.column("x")), t.column("root").to_numpy(), t.column("side").to_numpy(), t.column("copies").to_numpy().astype(float)
+    near, more = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 512):
+        part = slice(at, at + 512)
+        linked = (x[part] @ x.T >= least) & (root[part, None] == root[None]) & ((side[part, None] == 0) | (side[part, None] != side[None]))
+        linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+        near[part], more[part] = linked.sum(axis=1), np.rint(linked @ copies).astype(np.int64)
+    return pa.table([t.column("node"), pa.array(near), pa.array(more)], ["node", "near", "more"])
+
+
+def counted(units: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(node, near, more): the links of every node inside its component, all pairs of which are compared in blocks.
+
+    A component above ``SHARD`` vectors is cut into tiles, each two of which meet in a group; small ones share groups. Only counts leave a group.
+    """
+    roots = settle(groups.select("node", F.col("component").alias("root")))
+    sizes = settle(roots.groupBy("root").agg(F.count("*").alias("size")))
+    shared = max(1, roots.count() // SHARD)
+    tiles = F.ceil(F.col("size") / SHARD).cast("int")
+    dealt = roots.join(sizes, "root").join(units.select("node", "x", "copies"), "node").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
+    key = F.when(F.col("tiles") > 1, F.concat_ws(":", "root", low, high)).otherwise(F.pmod(F.xxhash64("root"), F.lit(shared)).cast("string"))
+    rows = dealt.select(key.alias("key"), "root", side.cast("int").alias("side"), "node", "x", "copies")
+    met = rows.groupBy("key").applyInArrow(lambda t: _counted(t, least), "node long, near long, more long")
+    return met.groupBy("node").agg(F.sum("near").alias("near"), F.sum("more").alias("more"))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audit_recall) of every row.
+    """(vec_id, n_links, component_id, kept, audit_recall, audit_recall_vectors) of every row.
 
     Rows are compared only if their labels are equal and not null, by cosine in double precision; a link is a pair of
     cosine ``least`` or more. Exact copies are one vector of the graph that counts as many. Cells of about ``SHARD`` vectors
     overlap; each gets a pruned neighbour graph; the neighbour lists of a vector from all its cells are united; in each
     cell every vector is searched from the medoids, and what is in range leads on; every pair is checked by its cosine.
-    A cell that cannot be split (a dense group) is searched block by block. Up to ``SAMPLE`` vectors are compared with all
-    rows of their label: the share of their links that was found is ``audit_recall`` (1 if they have none), and a share
-    below 0.9 is an error.
+    A cell that cannot be split (a dense group) is searched block by block. What hangs together by the links found is then compared
+    whole, in blocks, so all links inside a component are counted, also those of vectors that never shared a cell. Up to ``SAMPLE``
+    vectors are compared with all rows of their label: ``audit_recall`` is the share of their links that was found, ``audit_recall_vectors`` the mean
+    of each linked vector's share (1 if there are no links).
 
     Vectors that are null, zero, of no length, or hold null or non-finite components link with nothing and are their own component, as
     are rows with a null label; vectors of different length are not compared. A null id never names a component (null if
@@ -273,24 +323,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     scaled = F.transform("x", lambda v: v / largest)  # so that no square overflows
     units = settle(table.withColumn("x", scaled).withColumn("x", F.transform("x", lambda v: v / F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, w: s + w * w))))
                    .select("node", "kind", "x", "copies"))
-    links = settle(found_links(units, least))
-    others = settle(links.select("node", F.explode("links").alias("other")))
-    counts = others.join(units.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("more"))
-    groups = components(others.where("node > other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    groups = settle(components(found_links(units, least)))
+    counts = settle(counted(units, groups, least))
     known = settle(table.select("node", "label", "x", "first", "copies").join(counts, "node", "left").join(groups, "node", "left")
                    .select("label", "x", "node", "first", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")))
     names = settle(known.groupBy("root").agg(F.min("first").alias("component_id")))
     named = settle(known.join(names, "root").select(F.col("label").alias("l"), F.col("x").alias("v"), "n_links", "component_id"))
-    recall = audit(units, others, least)
-    if recall < 0.9:
-        raise RuntimeError(f"only {recall:.3f} of the sampled links were found")
+    by_link, by_vector = audit(units, counts, least)
     out = rows.where(good).join(named, (F.col("label") == F.col("l")) & (F.col("x") == F.col("v"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("audit_recall"))
+    return out.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+                                        F.lit(by_link).alias("audit_recall"), F.lit(by_vector).alias("audit_recall_vectors"))
 
 
 def found_links(units: DataFrame, least: float) -> DataFrame:
-    """(node, links): all nodes linked to a node, both ways."""
+    """(a, b): pairs that hang together all nodes between which links were found; a task hands on fewer of them than it has nodes."""
     cells = cells_of(units)
     placed = settle(cells.withColumn("i", F.pmod(F.xxhash64("node", "cell"), "parts").cast("int")).join(units.select("node", "x"), "node"))
     graphs = placed.groupBy("cell", "i").applyInArrow(_edges, "node long, near array<long>")
@@ -299,15 +346,14 @@ def found_links(units: DataFrame, least: float) -> DataFrame:
     data = with_lists.select("node", "cell", "x", "near", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(False).alias("query"))
     none = F.array().cast("array<long>")
     queries = with_lists.where("parts > 1").select("node", "cell", "x", none.alias("near"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "i", F.lit(True).alias("query")).where("i <> j")
-    met = data.unionByName(queries).groupBy("cell", "i", "j").applyInArrow(lambda t: _links(t, least), "node long, links array<long>")
-    return met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    return data.unionByName(queries).groupBy("cell", "i", "j").applyInArrow(lambda t: _links(t, least), "a long, b long")
 
 
-def audit(units: DataFrame, others: DataFrame, least: float) -> float:
-    """Share of the links of sampled vectors that were found, against a comparison with all rows."""
+def audit(units: DataFrame, counts: DataFrame, least: float) -> tuple[float, float]:
+    """Share of the links of sampled vectors that were found, against a comparison with all rows, and the mean of the shares of the vectors that have some."""
     sample = units.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(SAMPLE).select("node", "kind", "x").collect()  # SAMPLE rows at most
     if not sample:
-        return 1.0
+        return 1.0, 1.0
     by_kind: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for kind in {r["kind"] for r in sample}:
         mine = [r for r in sample if r["kind"] == kind]
@@ -327,6 +373,7 @@ def audit(units: DataFrame, others: DataFrame, least: float) -> float:
                             count[node] = count.get(node, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], ["node", "n"])
 
-    there = units.select("node", "kind", "x").mapInArrow(compare, "node long, n long").agg(F.sum("n")).first()[0] or 0
-    ids = units.sparkSession.createDataFrame([(r["node"],) for r in sample], "node long")
-    return others.join(F.broadcast(ids), "node").count() / there if there else 1.0
+    there = units.select("node", "kind", "x").mapInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
+    share = F.coalesce("near", F.lit(0)) / F.col("n")
+    got = there.join(counts, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("near", F.lit(0))).alias("near"), F.avg(share).alias("each")).first()
+    return (got["near"] / got["n"], got["each"]) if got["n"] else (1.0, 1.0)

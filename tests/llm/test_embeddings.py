@@ -62,7 +62,7 @@ def test_registered(spark, tmp_path):
 
 def test_many_cells_and_blocks(spark, monkeypatch):
     """Shards of 40 vectors: several splits, and dense groups that go on in blocks."""
-    for name, value in (("SHARD", 40), ("SALT", 64), ("LEVELS", 2), ("PIVOTS", 8)):
+    for name, value in (("SHARD", 40), ("SALT", 64), ("PIVOTS", 8)):
         monkeypatch.setattr(embeddings, name, value)
     rows = vectors(2, 300)
     got = sorted((tuple(r)[:4] for r in embeddings.near_duplicates(frame(spark, rows)).collect()), key=str)
@@ -87,3 +87,31 @@ def test_search_recall():
 @pytest.mark.parametrize("rows", [[], [(7, None, None)]])
 def test_small_tables(spark, rows):
     assert [tuple(r)[:4] for r in embeddings.near_duplicates(frame(spark, rows)).collect()] == [(i, 0, i, True) for i, _, _ in rows]
+
+
+def test_a_dense_group_beside_pairs(spark):
+    """A group of 1 500 near copies lies over many cells; its links are counted whole. Pairs of cosine 0.94 are found one by one."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = r.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    y = 0.94 * x + np.sqrt(1 - 0.94**2) * away
+    hub = r.normal(size=64)
+    hub /= np.linalg.norm(hub)
+    group = hub + 0.02 * r.normal(size=(1500, 64))
+    rows = np.concatenate([x, y, group])
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(8)
+    got = embeddings.near_duplicates(df).orderBy("vec_id").collect()
+    n = np.array([g.n_links for g in got])
+    assert (n[4000:] == want[4000:]).all() and {g.component_id for g in got[4000:]} == {4000}
+    assert (n <= want).all() and (n[:4000] == want[:4000]).mean() >= 0.95
+    assert got[0].audit_recall > 0.98 and got[0].audit_recall_vectors > 0.95
+
+
+def test_pairs_hang_together():
+    a, b = embeddings.hung(np.array([5, 9, 3, 20]), np.array([9, 7, 4, 21]))
+    assert dict(zip(a.tolist(), b.tolist())) == {7: 5, 9: 5, 4: 3, 21: 20}
