@@ -35,7 +35,7 @@ HELD = 300_000  # different words a task counts before it hands them on
 HEAD = 1 << 18  # words with a leaf of their own: bounds what is broadcast and fetched
 LONGEST = 64  # bytes of such a word
 WAYS = 16
-BITS = 19  # 2^BITS rows of weights: bounds the model's memory, 33 MB
+BITS = 18  # 2^BITS rows of weights: bounds the model's memory, 17 MB
 RATE = 0.35
 ROUNDS = 2
 WIDE = 2  # classes on the way to a word that see all features
@@ -360,10 +360,8 @@ def train(texts: DataFrame, known: DataFrame, head: int = HEAD, bits: int = BITS
     if least is None:
         words, count = pa.array([], pa.binary()), np.zeros(0, np.int64)
     else:
-        got = known.where((F.octet_length("token") <= LONGEST) & (step >= least)).toArrow()
+        got = known.where((F.octet_length("token") <= LONGEST) & (step >= least)).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
         words, count = got.column("token").combine_chunks(), got.column("n").to_numpy()
-        order = np.lexsort([np.array(words.to_pylist(), object), -count]) if len(words) else np.zeros(0, np.int64)
-        words, count = words.take(pa.array(order)), count[order]
     model = Model(words, count, n, types, None, bits, np.zeros((1 << bits, WAYS), np.float32), np.ones(1 << bits, np.float32))
     model.tree = classes(np.append(count + 0.5, model.rare_mass))
     learners = max(1, -(-n // (LEARNER_TOKENS * rounds)))
@@ -380,7 +378,7 @@ def train(texts: DataFrame, known: DataFrame, head: int = HEAD, bits: int = BITS
             if left == 1:
                 break
             parts = settle(parts)
-        for r in parts.select("slice", "rows").collect():
+        for r in parts.select("slice", "rows").toLocalIterator():
             row, v = unpacked(r["rows"])
             row = row + r["slice"] * SLICE
             model.history[row] += v[:, 1]
@@ -437,7 +435,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     texts = rows.where("not held_out").select("text")
     known = settle(counts(texts))
     model = train(texts, known, head, bits, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, history=np.zeros(0, np.float32)))
     kind = dict(rows.dtypes)["id"]
     each = rows.mapInArrow(lambda it: scored(it, sent.value), f"id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, others array<binary>")
     each = settle(each.withColumn("row", F.monotonically_increasing_id()))
