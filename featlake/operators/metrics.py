@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featlake.operators.blocks import summed
 from featlake.operators.quantiles import prefix_sums
 
 
@@ -35,8 +35,33 @@ def auc_by(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, from one aggregate."""
-    pairs = list(combinations_with_replacement(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    """Pearson correlation of every pair of columns, long form, over the rows that have both; null without spread.
+
+    Two passes, means and then products of blocks of rows; p columns make sums of p x p numbers in a task and on the driver.
+    """
+    p = len(cols)
+
+    def firsts(x: np.ndarray) -> np.ndarray:
+        ok = ~np.isnan(x)
+        return np.concatenate([ok.sum(axis=0), np.where(ok, x, 0).sum(axis=0)]).astype(float)
+
+    def whole(fn, width: int) -> np.ndarray:
+        out = np.zeros(width)
+        for r in summed(df, cols, fn).collect():
+            out[r["at"]] = r["v"]
+        return out
+
+    n, s = whole(firsts, 2 * p).reshape(2, p)
+    mean = np.divide(s, n, out=np.zeros(p), where=n > 0)
+
+    def seconds(x: np.ndarray) -> np.ndarray:
+        ok = (~np.isnan(x)).astype(float)
+        z = np.where(ok > 0, x - mean, 0)
+        return np.concatenate([m.ravel() for m in (ok.T @ ok, z.T @ z, z.T @ ok, (z * z).T @ ok)])
+
+    n, xy, x, xx = whole(seconds, 4 * p * p).reshape(4, p, p)
+    n1 = np.maximum(n, 1)
+    cov, var = xy - x * x.T / n1, xx - x * x / n1
+    spread = np.sqrt(np.maximum(var, 0) * np.maximum(var.T, 0))
+    rows = [(cols[i], cols[j], float(cov[i, j] / spread[i, j]) if spread[i, j] > 0 else None) for i in range(p) for j in range(i, p)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")

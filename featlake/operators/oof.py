@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.functions.numeric import clip, exp_shift, log_shift
+from featlake.operators.blocks import gathered, summed
 from featlake.operators.ordering import global_index
 from featlake.operators.ranks import label_encode
 from featlake.session import settle
@@ -32,12 +33,15 @@ def gram_sums(df: DataFrame, cols: list[str], y: str, fold: str) -> DataFrame:
     Result: fold, n, s (sums) and g (upper triangle by rows), all from one pass.
     """
     full = [*cols, y]
-    ok = reduce(lambda a, c: a & F.col(c).isNotNull(), full, F.lit(True))
-    d = [F.col(c).cast("double") for c in full]
-    pairs = [(i, j) for i in range(len(full)) for j in range(i, len(full))]
-    return df.where(ok).groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in d]).alias("s"),
-        F.array(*[F.sum(d[i] * d[j]) for i, j in pairs]).alias("g"))
+    p = len(full)
+    pairs = np.triu_indices(p)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        x = x[~np.isnan(x).any(axis=1)]
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[pairs]])
+
+    got = gathered(summed(df, full, sums, fold), fold)
+    return got.select(fold, F.col("v")[0].cast("long").alias("n"), F.slice("v", 2, p).alias("s"), F.slice("v", p + 2, len(pairs[0])).alias("g")).where("n > 0")
 
 
 def _solve(n: float, s: np.ndarray, g: np.ndarray, alpha: float) -> np.ndarray:
@@ -137,6 +141,32 @@ def gbt_oof(train: DataFrame, fold: str, test: DataFrame | None = None, trees: i
     return oof_predict(GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed), train, fold, test, **kw)
 
 
+def boosted_oof(train: DataFrame, fold: str, test: DataFrame | None = None, most: int = 200, gain: float = 0.001, depth: int = 5, seed: int = 1,
+                out: str = "oof", bounds: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
+    """Boosted trees that stop by the left-out fold: (columns, ``out``, rounds).
+
+    A fold's model stops when its error on the left-out fold no longer falls by ``gain`` of itself (0.01 at least), and keeps the trees up to its least error;
+    ``rounds`` is their number, for test rows and rows without a fold the sum over the models, whose mean they get.
+    """
+    train = settle(train)
+    loose = train.where(F.col(fold).isNull())
+    rest = settle(loose if test is None else loose.unionByName(test, allowMissingColumns=True))
+    est = GBTRegressor(maxIter=most, maxDepth=depth, seed=seed, validationIndicatorCol="_valid", validationTol=gain)
+    parts, names, rounds = [], [], 0
+    for f in fold_numbers(train, fold):
+        known = train.where(F.col(fold).isNotNull())
+        model = est.fit(known.withColumn("_valid", F.col(fold) == f))
+        parts.append(_scored(model, train.where(F.col(fold) == f), out, False).withColumn("rounds", F.lit(model.getNumTrees)))
+        names.append(f"_p{f}")
+        rest = _scored(model, rest, names[-1], False)
+        rounds += model.getNumTrees
+    if not parts:
+        return train.withColumns({out: F.lit(None).cast("double"), "rounds": F.lit(0)})
+    mean = reduce(lambda a, b: a + b, [F.col(c) for c in names]) / len(names)
+    res = reduce(lambda a, b: a.unionByName(b), parts).unionByName(rest.withColumns({out: mean, "rounds": F.lit(rounds)}).drop(*names), allowMissingColumns=True)
+    return res.withColumn(out, clip(F.col(out), *bounds)) if bounds else res
+
+
 def forest_oof(train: DataFrame, fold: str, test: DataFrame | None = None, trees: int = 100, depth: int = 8, seed: int = 1, **kw) -> DataFrame:
     return oof_predict(RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), train, fold, test, **kw)
 

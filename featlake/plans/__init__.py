@@ -6,7 +6,7 @@ import importlib
 
 from featlake.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["sources", "columns", "scalars", "joins", "profiles", "encoders", "ranks", "blends", "text", "vectorize", "models", "textmodels"]
+FAMILIES = ["sources", "columns", "scalars", "joins", "profiles", "encoders", "ranks", "blends", "text", "vectorize", "models", "textmodels", "rowmodels"]
 
 for _name in FAMILIES:
     importlib.import_module(f"featlake.plans.{_name}")

@@ -146,10 +146,10 @@ def b17(spark, sf):
 
 @query("b18_ratio", f"""
 WITH {V.ADS_SQL}, {V.INCOMES_SQL}
-SELECT item_id, round(coalesce(price / income, -1), 6) AS price_vs_income FROM ads LEFT JOIN incomes ON ads.city = incomes.city""")
+SELECT item_id, round(coalesce(price / income, -1), 6) AS price_vs_income FROM ads LEFT JOIN incomes ON ads.town = incomes.town""")
 def b18(spark, sf):
     from featlake.operators.joins import lookup
-    a = lookup(V.ads(spark, sf, "item_id", "city", "price"), V.incomes(spark, sf), "city")
+    a = lookup(V.ads(spark, sf, "item_id", "town", "price"), V.incomes(spark, sf), "town")
     return a.select("item_id", r6(N.ratio(F.col("price"), F.col("income"), -1.0)).alias("price_vs_income"))
 
 

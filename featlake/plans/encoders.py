@@ -97,12 +97,12 @@ def d19(spark, sf):
 
 
 @query("d20_per_capita", f"""
-WITH {V.ADS_SQL}, {V.INCOMES_SQL}, c AS (SELECT city, count(*) AS n FROM ads GROUP BY 1)
-SELECT item_id, round(n / income * 1000000, 6) AS per_million FROM ads LEFT JOIN incomes ON ads.city = incomes.city
-LEFT JOIN c ON ads.city = c.city""")
+WITH {V.ADS_SQL}, {V.INCOMES_SQL}, c AS (SELECT town, count(*) AS n FROM ads GROUP BY 1)
+SELECT item_id, round(n / income * 1000000, 6) AS per_million FROM ads LEFT JOIN incomes ON ads.town = incomes.town
+LEFT JOIN c ON ads.town = c.town""")
 def d20(spark, sf):
-    a = lookup(V.ads(spark, sf, "item_id", "city"), V.incomes(spark, sf), "city")
-    return E.per_capita(a, "city", "income", "per_million").select("item_id", r6("per_million").alias("per_million"))
+    a = lookup(V.ads(spark, sf, "item_id", "town"), V.incomes(spark, sf), "town")
+    return E.per_capita(a, "town", "income", "per_million").select("item_id", r6("per_million").alias("per_million"))
 
 
 @query("d21_impute_mode", f"""

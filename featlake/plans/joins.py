@@ -13,9 +13,9 @@ from featlake.sources import views as V
 
 
 @query("c1_enrich_small", f"""
-WITH {V.ADS_SQL}, {V.INCOMES_SQL} SELECT item_id, ads.city, coalesce(income, -1) AS income FROM ads LEFT JOIN incomes ON ads.city = incomes.city""")
+WITH {V.ADS_SQL}, {V.INCOMES_SQL} SELECT item_id, ads.town, coalesce(income, -1) AS income FROM ads LEFT JOIN incomes ON ads.town = incomes.town""")
 def c1(spark, sf):
-    return J.lookup(V.ads(spark, sf, "item_id", "city"), V.incomes(spark, sf), "city", fill={"income": -1.0})
+    return J.lookup(V.ads(spark, sf, "item_id", "town"), V.incomes(spark, sf), "town", fill={"income": -1.0})
 
 
 @query("c2_enrich_composite", f"""
@@ -28,12 +28,12 @@ def c2(spark, sf):
 
 
 @query("c3_attach_side", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, s_acctbal FROM lineitem
-LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 > 0) ON l_suppkey = s_suppkey""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, key, s_acctbal FROM (SELECT *, CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN -l_suppkey ELSE l_suppkey END AS key FROM lineitem)
+LEFT JOIN supplier ON key = s_suppkey""")
 def c3(spark, sf):
-    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    side = V.table(spark, sf, "supplier").where("s_suppkey % 4 > 0").select("s_suppkey", "s_acctbal")
-    return J.attach_side(li, side, "l_suppkey", "s_suppkey")
+    key = "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN -l_suppkey ELSE l_suppkey END AS key"  # missing and unknown suppliers
+    li = V.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", key)
+    return J.attach_side(li, V.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "key", "s_suppkey")
 
 
 @query("c4_outer_merge", """
@@ -47,9 +47,9 @@ def c4(spark, sf):
 
 
 @query("c5_map_lookup", f"""
-WITH {V.ADS_SQL}, {V.INCOMES_SQL} SELECT item_id, income AS city_income FROM ads LEFT JOIN incomes ON ads.city = incomes.city""")
+WITH {V.ADS_SQL}, {V.INCOMES_SQL} SELECT item_id, income AS city_income FROM ads LEFT JOIN incomes ON ads.town = incomes.town""")
 def c5(spark, sf):
-    return J.map_lookup(V.ads(spark, sf, "item_id", "city"), "city", V.incomes(spark, sf), "city", "income", "city_income").drop("city")
+    return J.map_lookup(V.ads(spark, sf, "item_id", "town"), "town", V.incomes(spark, sf), "town", "income", "city_income").drop("town")
 
 
 @query("c6_join_all", """

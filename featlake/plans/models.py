@@ -124,6 +124,12 @@ def j7(spark, sf):
     return _score(O.gbt_oof(train, "fold", test))
 
 
+@query("j7_gbt_oof_stopped")
+def j7_stopped(spark, sf):
+    train, test = _rows(spark, sf)
+    return O.boosted_oof(train, "fold", test).select("item_id", "oof", "rounds")
+
+
 @query("j8_classify_oof")
 def j8(spark, sf):
     d = V.docs(spark, sf)
@@ -171,10 +177,18 @@ def j12_trees(spark, sf):
     return _score(O.gbt_oof(v.where("split = 'train'").drop("split"), "fold", v.where("split = 'test'").drop("split")))
 
 
+@query("j12_stack_oof_stopped")
+def j12_stopped(spark, sf):
+    p = V.preds(spark, sf)
+    v = O.assemble_features(p.withColumnRenamed("target", "label"), [f"model_{m}" for m in range(1, 6)], ["item_id", "fold", "split", "label"])
+    out = O.boosted_oof(v.where("split = 'train'").drop("split"), "fold", v.where("split = 'test'").drop("split"))
+    return out.select("item_id", "oof", "rounds")
+
+
 @query("j13_seed_average")
 def j13(spark, sf):
     train, test = _rows(spark, sf)
-    return O.seed_average(train, "fold", [1, 2, 3], "item_id", test, trees=10, depth=4)
+    return O.seed_average(train, "fold", [1, 2, 3], "item_id", test)
 
 
 @query("j15_forest_oof")

@@ -40,10 +40,10 @@ def h3(spark, sf):
 
 
 @query("h4_length_code", """
-SELECT doc_id, CAST(trunc(ln(length(text)) * 4) AS INT) AS len_code,
-       CAST(trunc(ln(1 + len(string_split(text, ' '))) * 20) AS INT) AS words_code FROM documents WHERE length(text) > 0""")
+SELECT doc_id, CASE WHEN length(text) > 0 THEN CAST(trunc(ln(length(text)) * 4) AS INT) END AS len_code,
+       CAST(trunc(ln(1 + len(string_split(text, ' '))) * 20) AS INT) AS words_code FROM documents""")
 def h4(spark, sf):
-    return V.table(spark, sf, "documents").where("length(text) > 0").select(
+    return V.table(spark, sf, "documents").select(
         "doc_id", N.length_code(F.length("text"), 4).alias("len_code"),
         N.length_code(F.size(F.split("text", " ")), 20, plus_one=True).alias("words_code"))
 

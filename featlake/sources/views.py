@@ -21,6 +21,7 @@ ADS_COLUMNS = {
     "user_id": ("o_custkey", "orders"),
     "region": ("r_name", "region"),
     "city": ("n_name", "nation"),
+    "town": ("CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 7 = 1 THEN 'ELSEWHERE' ELSE n_name END", "nation"),
     "parent_category_name": ("p_type", "part"),
     "category_name": ("p_brand", "part"),
     "param_1": ("CASE WHEN p_size % 5 = 0 THEN NULL ELSE l_returnflag END", "part"),
@@ -76,9 +77,9 @@ def periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Region-like dimension keyed by city; every seventh city is missing on purpose."""
-    return table(spark, sf, "nation").where("n_nationkey % 7 <> 0").selectExpr(
-        "n_name AS city", "CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS income")
+    """Region-like dimension keyed by town; listings may have no town or one that is not in it."""
+    return table(spark, sf, "nation").selectExpr(
+        "n_name AS town", "CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS income")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,8 +116,7 @@ PERIODS_SQL = ("periods AS (SELECT l_orderkey AS item_id, l_linenumber AS line,
                " CAST(o_orderdate AS DATE) - CAST(l_linenumber AS INT) AS activation_date,"
                " CAST(l_suppkey % 50 AS INT) AS image_top_1"
                " FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
-INCOMES_SQL = ("incomes AS (SELECT n_name AS city, CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS income"
-               " FROM nation WHERE n_nationkey % 7 <> 0)")
+INCOMES_SQL = ("incomes AS (SELECT n_name AS town, CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS income FROM nation)")
 DOCS_SQL = ("docs AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic"
             " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 
