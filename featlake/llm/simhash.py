@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import components
+from featlake.llm.common import components, shuffle_partitions
 from featlake.llm.superkmer import word_tokens
 from featlake.session import settle
 
@@ -48,13 +48,14 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, at = [], 0
+            held, size, at = [], 0, 0
             for i, text in enumerate(batch.column(1)):
                 held.append(text.as_py() or b"")
-                if sum(map(len, held[-1:])) > CHUNK or i + 1 == batch.num_rows or len(held) == 1000:
+                size += len(held[-1])
+                if size > CHUNK or i + 1 == batch.num_rows or len(held) == 1000:
                     fp = fingerprints_of(held, words).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(fp)], ["id", "fp"])
-                    held, at = [], i + 1
+                    held, size, at = [], 0, i + 1
 
     read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return read.mapInArrow(run, "id long, fp long")
@@ -69,7 +70,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     if radius != 2:
         raise ValueError("the ball is written out for radius 2")
-    fp = fps.select("fp").distinct()
+    fp = fps.select("fp").distinct().repartition(shuffle_partitions(fps.sparkSession), "fp")  # few bytes, but each row becomes 65
     near = fp.withColumn("point", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")))
     met = near.groupBy("point").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
     pairs = met.select(F.array_min("met").alias("b"), F.explode("met").alias("a")).where("a <> b").distinct()

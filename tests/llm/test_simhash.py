@@ -106,3 +106,22 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(empty.union(spark.createDataFrame([(1, None)], empty.schema))).where(F.col("component_id") == 1).count() == 1
+
+
+def test_a_batch_is_cut_by_its_bytes(spark, monkeypatch):
+    """No more than CHUNK bytes and one text are hashed together."""
+    sizes = []
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    made = simhash.fingerprints_of
+
+    def seen(texts, words):
+        sizes.append(sum(map(len, texts[:-1])))
+        return made(texts, words)
+    monkeypatch.setattr(simhash, "fingerprints_of", seen)
+    df = spark.createDataFrame([(i, "some words of text " * (i % 4)) for i in range(60)], "doc_id long, text string")
+    read = df.select("doc_id", F.col("text").cast("binary")).toArrow().to_batches()
+    run = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema, **k: run.setdefault("fn", fn))
+    simhash.fingerprints(df)
+    got = [b for b in run["fn"](iter(read))]
+    assert sum(b.num_rows for b in got) == 60 and max(sizes) <= 100 and len(sizes) > 5
