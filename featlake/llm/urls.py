@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featlake.llm.common import shuffle_partitions
 from featlake.llm.decontaminate import LOWER, UPPER
 from featlake.session import settle
 
@@ -94,7 +95,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "kind": verdict})
-    urls = rows.where("url is not null").select("url", "kind").distinct()
+    urls = rows.where("url is not null").select("url", "kind").distinct().repartition(shuffle_partitions(pages.sparkSession), "url")  # each row becomes many
     held = F.col("kind").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
     scored = settle(scores(urls.withColumn("held", held), order))
     cut = cut_point(scored)
