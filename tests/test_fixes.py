@@ -110,3 +110,15 @@ def test_release_deletes_what_was_settled(spark, tmp_path, monkeypatch):
     assert any(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path) for f in fs)
     session.release(spark)
     assert not any(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path) for f in fs)
+
+
+def test_disk_path_on_a_cluster(spark, monkeypatch, tmp_path):
+    from featlake import session
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert session.settle(spark.range(5)).count() == 5
+    assert session.scratch_path(spark, "x").startswith(session.shared_folder(spark))
+    monkeypatch.setattr(session, "_SEEN", set())
+    monkeypatch.setattr(session, "_is_shared", lambda spark, folder: False)
+    with pytest.raises(RuntimeError, match="not all machines share"):
+        session.shared_folder(spark)
