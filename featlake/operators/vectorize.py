@@ -1,7 +1,8 @@
 """Relational text vectorising: counts, TF-IDF, hashing, token sequences and pooled word vectors.
 
 Texts are spread by document key before they are cut into terms, so that counting the terms of
-a document and scaling its vector need no further shuffle of the much larger term rows.
+a document and scaling its vector need no further shuffle of the much larger term rows. A task
+gets ``TEXT`` bytes of text, as its terms take some forty times as much memory.
 """
 
 from __future__ import annotations
@@ -13,7 +14,13 @@ from featlake.functions import text as T
 from featlake.functions.numeric import stable_hash
 from featlake.functions.vectors import pad_sequence
 from featlake.operators.ranks import build_vocab
-from featlake.session import settle
+from featlake.session import settle, spread
+
+TEXT = 4 << 20
+
+
+def _spread(df: DataFrame, doc: str, text: str) -> DataFrame:
+    return spread(df.select(doc, text), [doc], TEXT, F.octet_length(text))
 
 
 def _terms(text: Column, ngram: tuple[int, int], stopwords: list[str], analyzer: str) -> Column:
@@ -29,7 +36,7 @@ def _terms(text: Column, ngram: tuple[int, int], stopwords: list[str], analyzer:
 def count_vectors(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1, 1), stopwords: list[str] = (),
                   analyzer: str = "word") -> DataFrame:
     """(doc, term, n) with the term counts of every document."""
-    return (df.select(doc, text).repartition(doc)
+    return (_spread(df, doc, text)
             .select(doc, F.explode(_terms(F.col(text), ngram, stopwords, analyzer)).alias("term"))
             .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n")))
 
@@ -96,7 +103,7 @@ def hash_vectors(df: DataFrame, doc: str, text: str, buckets: int, binary: bool
 
     toks = T.tokenize(F.lower(F.coalesce(F.col(text), F.lit(""))))
     parts = [weighted(T.word_ngrams(toks, i, i), float(w)) for i, w in enumerate(weights, 1)]
-    rows = (df.select(doc, text).repartition(doc).select(doc, F.explode(F.concat(*parts)).alias("s"))
+    rows = (_spread(df, doc, text).select(doc, F.explode(F.concat(*parts)).alias("s"))
             .select(doc, F.pmod(stable_hash(F.col("s.term")), F.lit(buckets)).cast("int").alias("bucket"), F.col("s.w").alias("w")))
     return rows.groupBy(doc, "bucket").agg((F.max("w") if binary else F.sum("w")).alias("value"))
 

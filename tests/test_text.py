@@ -97,3 +97,12 @@ def test_pooling(spark, rows):
     df = spark.createDataFrame([("a", [3.0, 0.0]), ("a", [0.0, 4.0]), ("b", [0.0, 0.0])], "k string, v array<float>")
     assert rows(Z.pool_vectors(df, "k", "v", 2)) == [("a", [0.6, 0.8]), ("b", [0.0, 0.0])]
     assert rows(Z.pool_vectors(df, "k", "v", 2, "min")) == [("a", [0.0, 0.0]), ("b", [0.0, 0.0])]
+
+
+def test_terms_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    """The number of partitions follows the text, so the terms of a task stay the same when there are more documents."""
+    monkeypatch.setattr(Z, "TEXT", 500)
+    small, large = (spark.createDataFrame([(i, f"some words of text {i} " * 5) for i in range(n)], "d long, t string") for n in (40, 400))
+    parts = lambda df: df.select("d").rdd.getNumPartitions()
+    for vectors in (lambda df: Z.count_vectors(df, "d", "t", (1, 2)), lambda df: Z.hash_vectors(df, "d", "t", 1 << 20)):
+        assert parts(vectors(large)) > 8 * parts(vectors(small)) > 8
