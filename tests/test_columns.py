@@ -164,3 +164,11 @@ def test_files(spark, rows, tmp_path):
     assert S.choose_blocks(["fe_b", "fe_a_old", "fe_a", "x"], "fe_*", ["_old"]) == ["fe_a", "fe_b"]
     with pytest.raises(ValueError):
         S.write_block(spark.range(1), str(tmp_path / "b"), "key")
+
+
+def test_distinct_values_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 10)
+    rows = [(None if i % 50 == 0 else i % 7, i % 3, None if i % 5 == 0 else str(i % 4)) for i in range(400)]
+    out = P.user_diversity(spark.createDataFrame(rows, "u int, a int, b string"), "u", ["a", "b"])
+    assert out.rdd.getNumPartitions() >= 39  # a task holds about ten rows however many there are
+    assert {r.u: (r.a_nunique, r.b_nunique) for r in out.collect()} == {u: (len({a for v, a, _ in rows if v == u}), len({b for v, _, b in rows if v == u})) for u in range(7)}
