@@ -172,3 +172,16 @@ def test_distinct_values_in_small_tasks(spark, monkeypatch):
     out = P.user_diversity(spark.createDataFrame(rows, "u int, a int, b string"), "u", ["a", "b"])
     assert out.rdd.getNumPartitions() >= 39  # a task holds about ten rows however many there are
     assert {r.u: (r.a_nunique, r.b_nunique) for r in out.collect()} == {u: (len({a for v, a, _ in rows if v == u}), len({b for v, _, b in rows if v == u})) for u in range(7)}
+
+
+def test_listings_join_the_dimensions_of_orders_first(spark, tmp_path):
+    """Rows without an order, orders without a customer, and a customer that comes twice give what joins one after the other give."""
+    from featlake.sources import views as V
+    t = {"lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date", [(1, 1, 1, 1, None), (2, 1, 1, 1, None), (3, 1, 1, 1, None), (None, 1, 1, 1, None)]),
+         "orders": ("o_orderkey long, o_custkey long", [(1, 10), (2, 11), (None, 10)]), "customer": ("c_custkey long, c_mktsegment string", [(10, "x"), (10, "y"), (None, "z")])}
+    for name, (schema, rows) in t.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = V.ads(spark, str(tmp_path), "user_id", "user_type")
+    assert sorted(((r.user_id, r.user_type) for r in df.collect()), key=str) == sorted([(10, "x"), (10, "y"), (11, None), (None, None), (None, None)], key=str)
+    read = df._jdf.queryExecution().optimizedPlan().toString()
+    assert read.index("l_orderkey") < read.index("o_custkey") < read.index("c_custkey") and read.count("Join") == 2
