@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies.
 
-    Near copies share 0.8 of their shingles of five words, or are linked by such texts. Rows that repeat an id all stay if they are in different
+    Near copies share 0.8 of their shingles of five words, or are linked by such texts; SimHash fingerprints find them first, bands of minima and
+    rare shingles those whose fingerprints are further apart. Rows that repeat an id all stay if they are in different
     groups; of those in one group the least text stays, once. Rows without id are kept: nothing tells which of them would stay for the others.
     """
     groups = near_copies(docs)

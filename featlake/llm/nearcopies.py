@@ -1,7 +1,8 @@
 """Near copies by the share of common shingles.
 
-A SimHash of 64 bits differs in about ten bits (deviation three) between two texts that share 0.8 of their shingles, too
-many for a ball. So candidates come from several short fingerprints: each band of ``ROWS`` minima of scrambled shingle
+Candidates come first from SimHash: texts whose fingerprints of 64 bits are equal or linked by two bits. But a SimHash
+differs in about ten bits (deviation three) between two texts that share 0.8 of their shingles, too many for a ball. So
+further candidates come from several short fingerprints: each band of ``ROWS`` minima of scrambled shingle
 hashes is one, and two texts of similarity s agree in it with probability s^ROWS. With 24 bands a pair of similarity 0.8
 meets in one at least with probability 0.9993. The shingles themselves then decide, so nothing below the bound is joined.
 
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.common import U64, components, mixed, pack, rolled, unpack
-from featlake.llm.simhash import CHUNK
+from featlake.llm.simhash import CHUNK, fingerprints_of
+from featlake.llm.simhash import links as fingerprint_links
 from featlake.llm.superkmer import word_tokens
 from featlake.session import settle
 
+FP_WORDS = 3  # words of a shingle of the SimHash
 BANDS, ROWS = 24, 6
 LEADERS = 1
 SIZE = 1.05  # sizes of a band of sizes, largest to smallest
@@ -62,7 +65,7 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, hash) as (id, hash, node, bands, shingles): a hash of the set of shingles, its keys, and 32 bits of each shingle, packed."""
+    """Rows (id, text, hash) as (id, hash, node, fp, bands, shingles): a hash of the set of shingles, the SimHash fingerprint, the set's keys, and 32 bits of each shingle, packed."""
     for batch in batches:
         held, size, at = [], 0, 0
         for i, text in enumerate(batch.column(1)):
@@ -72,8 +75,8 @@ def described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
                 sets = shingle_sets(held, words)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], U64).view(np.int64)
                 short = [pack(np.diff(np.unique(s >> U64(32)), prepend=U64(0)).astype(np.uint32)) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), batch.column(2).slice(at, len(held)), pa.array(node), pa.array(list(bands_of(sets).view(np.int64)), pa.list_(pa.int64())),
-                                                  pa.array(short, pa.binary())], ["id", "hash", "node", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), batch.column(2).slice(at, len(held)), pa.array(node), pa.array(fingerprints_of(held, FP_WORDS).view(np.int64)),
+                                                  pa.array(list(bands_of(sets).view(np.int64)), pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "hash", "node", "fp", "bands", "shingles"])
                 held, size, at = [], 0, i + 1
 
 
@@ -99,6 +102,15 @@ def checked(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return settle(both.mapInArrow(lambda it: similar(it, least), "a long, b long"))
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose SimHash fingerprints are equal or linked: a node of each fingerprint stands for it."""
+    fps = settle(rows.select("fp", "node").distinct())
+    one = settle(fps.groupBy("fp").agg(F.min("node").alias("one")))
+    same = fps.join(one, "fp").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    near = fingerprint_links(fps).join(one.withColumnsRenamed({"fp": "a", "one": "x"}), "a").join(one.withColumnsRenamed({"fp": "b", "one": "y"}), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
+
+
 def _apart(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``keys`` (node, key, ...) whose key holds nodes of several components, with the component as ``root``."""
     now = settle(keys.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
@@ -174,9 +186,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     id, which is null if no row of the component has one. Pairs of just ``least`` are missed with probability 0.0007.
     """
     read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.xxhash64(f"`{text_col}`").alias("hash"))
-    rows = settle(read.mapInArrow(lambda it: described(it, words), "id long, hash long, node long, bands array<long>, shingles binary"))
+    rows = settle(read.mapInArrow(lambda it: described(it, words), "id long, hash long, node long, fp long, bands array<long>, shingles binary"))
     bands = settle(rows.select("node", F.explode("bands").alias("key")).distinct())
-    links = checked(rows, _with_least(bands), least)
+    links = checked(rows, by_fingerprint(rows).unionByName(_with_least(bands)), least)
     roots = settle(components(links))
     apart = settle(_apart(bands, roots).select("node").distinct())
     if not apart.isEmpty():

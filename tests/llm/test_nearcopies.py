@@ -105,3 +105,14 @@ def test_a_large_group_that_is_not_near(spark):
         rows.append((i, " ".join(t)))
     got = [tuple(x) for x in nearcopies.near_copies(frame(spark, rows)).select("doc_id", "component_id").collect()]
     assert sorted(got) == sorted(components(rows))
+
+
+def test_stage_links_by_simhash(spark, monkeypatch):
+    """Without bands and prefixes the fingerprints alone find copies that differ in order or in a word of many."""
+    words = [f"w{i}" for i in range(3000)]
+    edited = words[:2999] + ["other"]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(f"x{i}" for i in range(50)))]
+    monkeypatch.setattr(nearcopies, "_with_least", lambda keys: keys.select(keys.node.alias("a"), keys.node.alias("b")).where("a <> b"))
+    monkeypatch.setattr(nearcopies, "_apart", lambda keys, roots: keys.where("false"))
+    got = pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
