@@ -183,5 +183,5 @@ def test_listings_join_the_dimensions_of_orders_first(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     df = V.ads(spark, str(tmp_path), "user_id", "user_type")
     assert sorted(((r.user_id, r.user_type) for r in df.collect()), key=str) == sorted([(10, "x"), (10, "y"), (11, None), (None, None), (None, None)], key=str)
-    read = df._jdf.queryExecution().optimizedPlan().toString()
-    assert read.index("l_orderkey") < read.index("o_custkey") < read.index("c_custkey") and read.count("Join") == 2
+    outer, inner = (x.splitlines()[0] for x in df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:])
+    assert "l_orderkey" in outer and "c_custkey" in inner
