@@ -122,3 +122,15 @@ def test_disk_path_on_a_cluster(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "_is_shared", lambda spark, folder: False)
     with pytest.raises(RuntimeError, match="not all machines share"):
         session.shared_folder(spark)
+
+
+def test_folder_that_only_one_machine_sees(spark, monkeypatch):
+    from featlake import session
+
+    named, house = spark.conf.get("spark.checkpoint.dir"), spark.conf.get("spark.sql.warehouse.dir")
+    for master in ("spark://host:7077", "local-cluster[3,4,10240]"):
+        monkeypatch.setattr(spark.sparkContext, "master", master)
+        monkeypatch.setattr(session, "_SEEN", set())
+        monkeypatch.setattr(session, "_LOST", set())
+        monkeypatch.setattr(session, "_is_shared", lambda spark, folder: folder.startswith(house))
+        assert not session.shared_folder(spark).startswith(named) and session.shared_folder(spark) == f"{house}/featlake"
