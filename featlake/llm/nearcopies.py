@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.common import U64, components, mixed, pack, rolled, unpack
-from featlake.llm.simhash import CHUNK, fingerprints_of
+from featlake.llm.simhash import fingerprints_of
 from featlake.llm.simhash import links as fingerprint_links
 from featlake.llm.superkmer import word_tokens
 from featlake.session import settle
@@ -35,6 +35,7 @@ BANDS, ROWS = 24, 6
 LEADERS = 1
 SIZE = 1.05  # sizes of a band of sizes, largest to smallest
 FLUSH = 200_000  # rows handed on at once
+CHUNK = 512 << 10  # bytes of text described at a time; what is worked out of them takes about forty times that
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 

@@ -43,6 +43,7 @@ BATCH = 4 << 20       # bytes of text for one stored batch
 CHUNK = 2 << 20       # bytes of text that a task works on at a time
 BUCKET = 4 << 20      # bytes of text for one bucket; overlapping strings that others share may be as long
 LONGEST = 64          # windows of one super-k-mer at most; longer runs are cut
+STEP = 64 << 10       # windows whose minimisers are worked out at a time
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -60,8 +61,10 @@ class Tokens:
 
 def byte_tokens(texts: list[bytes]) -> Tokens:
     a = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.arange(len(a), dtype=np.int32)
-    return Tokens(a, a.astype(U64) + U64(1), at, at + np.int32(1), np.array([len(t) for t in texts], np.int64))
+    at = np.arange(len(a) + 1, dtype=np.int32)
+    hashes = a.astype(U64)
+    hashes += U64(1)
+    return Tokens(a, hashes, at[:-1], at[1:], np.array([len(t) for t in texts], np.int64))
 
 
 def word_tokens(texts: list[bytes]) -> Tokens:
@@ -186,9 +189,17 @@ def pieces_of(docs: pa.Table, method: Method) -> Iterator[list[tuple[int, int, b
         yield held
 
 
+def minimisers(hashes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Least scrambled hash of the ``m``-token pieces of every window; beside the result only a step of windows is held."""
+    out = np.empty(max(0, len(hashes) - k + 1), U64)
+    for at in range(0, len(out), STEP):
+        out[at:at + STEP] = sliding_min(mixed(rolled(hashes[at:at + STEP + k - 1], m)), k - m + 1)
+    return out
+
+
 def superkmers(tok: Tokens, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window of each super-k-mer, and its minimiser."""
-    mins = sliding_min(mixed(rolled(tok.hashes, m)), k - m + 1)
+    mins = minimisers(tok.hashes, k, m)
     if not len(mins):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), mins
     ends = np.cumsum(tok.counts)

@@ -116,3 +116,22 @@ def test_stage_links_by_simhash(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "_apart", lambda keys, roots: keys.where("false"))
     got = pipeline.drop_near_copies(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_described_in_small_parts():
+    """A batch of 3 MB of text is described with less than 50 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from featlake.llm import nearcopies
+
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(350)).encode() for i in range(1500)]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), ids], ["id", "text", "hash"])
+    assert sum(map(len, texts)) > 2.5e6
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in nearcopies.described(iter([batch]), 5)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()

@@ -159,3 +159,24 @@ def test_registered(spark, tmp_path, name, k, cut, join):
     assert rows == sorted(((i, n, g, hashlib.sha256(x).hexdigest()) for i, n, g, _, x in want), key=str)
     if "n_spans" in got.columns:
         assert sorted(r.n_spans for r in got.select(F.col("n_spans")).collect()) == sorted(s for _, _, _, s, _ in want)
+
+
+def test_minimisers_in_steps(monkeypatch):
+    """Windows are worked out in steps: the same super-k-mers, and less than 50 MB beside 2 MB of text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (0, 10, 49, 50, 51, 700, 3000)]
+    tok = superkmer.byte_tokens(texts)
+    whole = superkmer.superkmers(tok, 50, 20)
+    for step in (1, 7, 64):
+        monkeypatch.setattr(superkmer, "STEP", step)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, superkmer.superkmers(tok, 50, 20), strict=True))
+    monkeypatch.undo()
+    tok = superkmer.byte_tokens([bytes(rng.integers(97, 123, 2 << 20).astype(np.uint8))])
+    tracemalloc.start()
+    try:
+        superkmer.superkmers(tok, 50, 20)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
