@@ -8,8 +8,11 @@ from featlake.functions import text as T
 from featlake.functions import vectors as VF
 from featlake.operators.vectorize import pool_vectors
 from featlake.plans.registry import query, r6, round_doubles
+from featlake.session import spread
 from featlake.sources import views as V
 
+GRAM_BYTES = 16 << 20  # bytes of text that a task cuts into n-grams; more would not fit its memory once counted
+
 
 def _docs(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", "text")
@@ -185,7 +188,8 @@ def sql_ngrams(t: str, lo: int, hi: int) -> str:
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), {q(T.WORD)}) AS t FROM documents),
 g AS (SELECT doc_id, unnest({sql_ngrams('t', 1, 3)}) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def x16(spark, sf):
-    g = _docs(spark, sf).select(F.explode(T.word_ngrams(T.tokenize(F.lower("text")), 1, 3)).alias("gram"))
+    d = spread(_docs(spark, sf), ["doc_id", "text"], GRAM_BYTES, F.octet_length("text"))
+    g = d.select(F.explode(T.word_ngrams(T.tokenize(F.lower("text")), 1, 3)).alias("gram"))
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 

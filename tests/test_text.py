@@ -106,3 +106,19 @@ def test_terms_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
     parts = lambda df: df.select("d").rdd.getNumPartitions()
     for vectors in (lambda df: Z.count_vectors(df, "d", "t", (1, 2)), lambda df: Z.hash_vectors(df, "d", "t", 1 << 20)):
         assert parts(vectors(large)) > 8 * parts(vectors(small)) > 8
+
+
+def test_ngrams_are_cut_in_small_tasks(spark, tmp_path, monkeypatch):
+    """A task gets a bounded part of the text, also where ids repeat or are null."""
+    from collections import Counter
+
+    from featlake.plans import QUERIES
+    from featlake.plans import text as P
+
+    texts = [f"a b c{i % 9} d" for i in range(600)] + [None, ""]
+    spark.createDataFrame([(None if i % 2 else i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(P, "GRAM_BYTES", 200)
+    out = QUERIES["x16_word_ngrams"](spark, str(tmp_path))
+    words = [(t or "").split() for t in texts]
+    assert {r.gram: r.n for r in out.collect()} == Counter(" ".join(w[i:i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    assert f"{-(-sum(len(t or '') for t in texts) // 200)}), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
