@@ -10,7 +10,7 @@ from featlake.llm.nearcopies import near_copies
 from featlake.llm.pieces import encode
 from featlake.llm.suffixes import remove_repeated_bytes
 from featlake.llm.toxicity import toxicity
-from featlake.session import scratch_path
+from featlake.session import scratch_path, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,11 +28,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rare shingles those whose fingerprints are further apart. Rows that repeat an id all stay if they are in different
     groups; of those in one group the least text stays, once. Rows without id are kept: nothing tells which of them would stay for the others.
     """
-    groups = near_copies(docs)
-    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keeper"), "hash", "root").distinct()
-    first = docs.where("doc_id is not null").join(keepers, (F.col("doc_id") == F.col("keeper")) & (F.xxhash64("text") == F.col("hash")))
-    repeated = first.groupBy("doc_id", "root").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return repeated.select("doc_id", *[f"row.{c}" for c in COLUMNS[1:]]).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    keepers = settle(near_copies(docs).where("doc_id = component_id").groupBy("doc_id", "hash").agg(F.min("root").alias("root")))
+    several = settle(keepers.groupBy("doc_id", "root").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "root"))
+    texts = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("text").alias("hash"))
+
+    def first(some: DataFrame) -> DataFrame:  # copies of one id meet where the join has put them, so texts are shuffled once
+        met = texts.join(some, ["doc_id", "hash"])
+        return met.groupBy("doc_id", "hash").agg(F.first("root").alias("root"), F.min(F.struct(*COLUMNS[1:])).alias("row"))
+
+    if several.isEmpty():
+        stay = first(keepers)
+    else:
+        rest = first(keepers.join(several, ["doc_id", "root"], "left_semi"))
+        stay = first(keepers.join(several, ["doc_id", "root"], "left_anti")).select("doc_id", "row").unionByName(rest.groupBy("doc_id", "root").agg(F.min("row").alias("row")).select("doc_id", "row"))
+    return stay.select("doc_id", *[f"row.{c}" for c in COLUMNS[1:]]).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,12 +11,15 @@ nodes all hang in one component are done: more links would say nothing new. What
 nodes left are ordered by rarity among them, and two sets that share 0.8 have a shingle in common among their first ones, as many as
 their sizes allow to differ. A node goes to a key for each such shingle and each band of sizes that a partner may have, so the sizes
 bound the prefixes tightly: a copy with many shingles of its own meets nobody. These keys are met like the bands, by ``LEADERS`` rounds of one
-node with all others, then by all pairs of different components that their places and sizes still allow.
+node with all others, then by all pairs of different components that their places, sizes and marks still allow. A set's marks say of
+each of ``MARKS`` cells whether an odd number of its shingles falls there: two sets differ in as many shingles as marks, at least.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ FP_WORDS = 3  # words of a shingle of the SimHash
 BANDS, ROWS = 24, 6
 LEADERS = 1
 SIZE = 1.05  # sizes of a band of sizes, largest to smallest
+MARKS = 512
 FLUSH = 200_000  # rows handed on at once
 CHUNK = 512 << 10  # bytes of text described at a time; what is worked out of them takes about forty times that
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -121,18 +125,32 @@ def _apart(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _with_least(keys: DataFrame) -> DataFrame:
     """Each key's smallest node with all others of the key; those of other components, where these are known."""
-    one = keys.groupBy("key").agg(F.min(F.struct("node", *(["root"] if "root" in keys.columns else []))).alias("one"), F.count("*").alias("n")).where("n > 1")
-    met = keys.join(settle(one), "key")
-    met = met.where("root <> one.root") if "root" in keys.columns else met.where("node <> one.node")
-    return met.select(F.col("node").alias("a"), F.col("one.node").alias("b"))
+    known = "root" in keys.columns
+    one = keys.groupBy("key").agg(F.min("node").alias("one"), *([F.min_by("root", "node").alias("of")] if known else []), F.count("*").alias("n")).where("n > 1")
+    met = keys.join(settle(one), "key").where("root <> of" if known else "node <> one")
+    return met.select(F.col("node").alias("a"), F.col("one").alias("b"))
+
+
+def _with_all(keys: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """All pairs of a key that are of different components, share enough if nothing before the key's shingle is in common and all after it is, and do not differ in more marks than that leaves."""
+    names = [f"m{i}" for i in range(MARKS // 64)]
+    x = settle(keys.join(marks, "node"))
+    y = x.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "place", "size", *names)])
+    most, both = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")), F.col("size") + F.col("size2")
+    apart = reduce(add, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in names])
+    near = x.join(y, "key").where((F.col("node") > F.col("node2")) & (F.col("root") != F.col("root2")) & (most * (1 + least) >= both * least - 1e-6)
+                                  & (apart * (1 + least) <= both * (1 - least) + 1e-6))
+    return near.select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
-def _with_all(keys: DataFrame, least: float) -> DataFrame:
-    """All pairs of a key that are of different components, and share enough if nothing before the key's shingle is in common and all after it is."""
-    x, y = keys, keys.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "place", "size")])
-    most = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
-    near = x.join(y, "key").where((F.col("node") > F.col("node2")) & (F.col("root") != F.col("root2")) & (most * (1 + least) >= (F.col("size") + F.col("size2")) * least - 1e-6))
-    return near.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingles) as (node, m0, m1, ...): the marks of the set, 64 in each."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, MARKS // 64), np.int64)
+        for i, s in enumerate(batch.column(1)):
+            cell = mixed(np.cumsum(unpack(s.as_py())[0].astype(U64))) & U64(MARKS - 1)
+            out[i] = np.packbits((np.bincount(cell.astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in out.T]], ["node", *[f"m{i}" for i in range(MARKS // 64)]])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +206,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     """
     read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.xxhash64(f"`{text_col}`").alias("hash"))
     rows = settle(read.mapInArrow(lambda it: described(it, words), "id long, hash long, node long, fp long, bands array<long>, shingles binary"))
-    bands = settle(rows.select("node", F.explode("bands").alias("key")).distinct())
+    each = rows.select("node", F.explode("bands").alias("key"))
+    several = settle(each.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key"))
+    bands = settle(each.join(several, "key", "left_semi").distinct())
     links = checked(rows, by_fingerprint(rows).unionByName(_with_least(bands)), least)
     roots = settle(components(links))
     apart = settle(_apart(bands, roots).select("node").distinct())
@@ -199,7 +219,12 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
             left = settle(_apart(keys, roots))
             if left.isEmpty():
                 break
-            found = checked(rows, _with_least(left) if turn < LEADERS else _with_all(left, least), least)
+            if turn < LEADERS:
+                found = checked(rows, _with_least(left), least)
+            else:
+                marks = sets.mapInArrow(_marks, "node long, " + ", ".join(f"m{i} long" for i in range(MARKS // 64)))
+                found = checked(rows, _with_all(left, settle(marks), least), least)
+            keys = left.drop("root")  # components only grow, so a key that is done stays done
             if not found.isEmpty():
                 links = settle(links.unionByName(found))
                 roots = settle(components(links))

@@ -135,3 +135,41 @@ def test_described_in_small_parts():
         assert tracemalloc.get_traced_memory()[1] < 50e6
     finally:
         tracemalloc.stop()
+
+
+def test_marks_part_what_is_not_near(spark):
+    """Of 100 texts of one base none is near another: their rare keys meet, but no pair is handed on; two near ones are."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:240] + [f"own{i}x{j}" for j in range(60)])) for i in range(100)]
+    rows += [(200, rows[0][1] + " more"), (201, rows[0][1] + " less")]
+    sets = spark.createDataFrame([(i, s) for i, s in enumerate(nearcopies.pack(nearcopies.np.diff(nearcopies.np.unique(x >> nearcopies.U64(32)), prepend=nearcopies.U64(0)).astype("uint32"))
+                                  for x in nearcopies.shingle_sets([t.encode() for _, t in rows], 5))], "node long, shingles binary")
+    keys = nearcopies.prefixes(sets, 0.8).withColumn("root", nearcopies.F.col("node"))
+    marks = sets.mapInArrow(nearcopies._marks, "node long, " + ", ".join(f"m{i} long" for i in range(nearcopies.MARKS // 64)))
+    keys = keys.unionByName(keys.withColumn("key", nearcopies.F.lit(1)).withColumn("place", nearcopies.F.lit(0).cast("long")).dropDuplicates(["node"]))  # all meet in one key
+    pairs = {tuple(r) for r in nearcopies._with_all(keys, marks, 0.8).collect()}
+    assert pairs == {(100, 0), (101, 0), (101, 100)}
+
+
+def test_bands_hold_only_what_meets(spark, monkeypatch):
+    """Keys that one node has are not written again, and copies are compared only with the others of their keys."""
+    seen = []
+    real = nearcopies._with_least
+    monkeypatch.setattr(nearcopies, "_with_least", lambda keys: seen.append(keys) or real(keys))
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(50)] + [(90, " ".join(words)), (91, " ".join(words[:99] + ["other"]))]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
+    assert got == {i: 90 if i == 91 else i for i, _ in rows}
+    assert seen[0].count() <= 2 * nearcopies.BANDS
+
+
+def test_texts_are_shuffled_once(spark):
+    rows = [(i, f"text of {i} alone and {i * i}") for i in range(50)]
+    plan = pipeline.drop_near_copies(spark, frame(spark, rows).localCheckpoint(), "")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("Exchange hashpartitioning") == 2
