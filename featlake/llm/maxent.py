@@ -18,6 +18,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -192,14 +193,15 @@ class Steps:
 
 def steps(model: Model, word: np.ndarray, before: np.ndarray, before2: np.ndarray) -> Steps:
     t = model.tree
-    token, at, wide, open_ = [], [], 0, np.flatnonzero(t.length.take(word))
+    start, length = t.start.take(word), t.length.take(word)
+    token, at, wide, open_ = [], [], 0, np.flatnonzero(length)
     level = 0
     while len(open_):
         token.append(open_)
-        at.append(t.start.take(word.take(open_)) + level)
+        at.append(start.take(open_) + level)
         level += 1
         wide += len(open_) * (level <= WIDE)
-        open_ = open_[t.length.take(word.take(open_)) > level]
+        open_ = open_[length.take(open_) > level]
     if not token:
         none = np.zeros(0, np.int64)
         return Steps(none, none, none, 0, none)
@@ -282,19 +284,14 @@ class Pending:
             yield tuple(p[at:at + MINI] for p in parts)
 
 
-def coded(text: bytes | None, ids: dict[bytes, int], rare: int) -> Iterator[tuple[np.ndarray, tuple[int, int], list[bytes]]]:
-    """A text's words as numbers a piece at a time, the two before each piece, and its words outside the head."""
+def coded(text: bytes | None, ids: dict[bytes, int], rare: int, named: bool = True) -> Iterator[tuple[np.ndarray, tuple[int, int], list[bytes]]]:
+    """A text's words as numbers a piece at a time, the two before each piece, and its words outside the head, if ``named``."""
     last = (rare + 1, rare + 1)
     for tokens in token_lists(text):
-        got = list(map(ids.get, tokens))
-        others = []
-        if None in got:
-            others = [t for t, i in zip(tokens, got) if i is None]
-            got = [rare if i is None else i for i in got]
-        code = np.array(got, np.int64)
+        code = np.fromiter(map(ids.get, tokens, repeat(rare)), np.int64, len(tokens))
         if len(code):
-            yield code, last, others
-            last = tuple(np.concatenate([last, code[-2:]])[-2:].tolist())
+            yield code, last, [tokens[i] for i in np.flatnonzero(code == rare).tolist()] if named else []
+            last = (*last, *code[-2:].tolist())[-2:]
 
 
 def learned(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -305,7 +302,7 @@ def learned(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     held = Pending()
     for batch in batches:
         for text in batch.column(0):
-            for code, last, _ in coded(text.as_py(), ids, model.rare):
+            for code, last, _ in coded(text.as_py(), ids, model.rare, named=False):
                 held.add(0, code, last)
                 if held.size >= 8 * MINI:
                     for word, before, before2, _row in held.take():

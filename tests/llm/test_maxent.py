@@ -172,3 +172,13 @@ def test_learners_are_averaged_by_use(spark, monkeypatch):
         mine = [(m[1][m[0] == r][0], m[2][m[0] == r][0], m[3][m[0] == r][0]) for m in made if (m[0] == r).any()]
         assert got[0] == pytest.approx(sum(n for n, _, _ in mine)) and got[1] == pytest.approx(sum(h for _, h, _ in mine), rel=1e-5)
         assert np.allclose(got[2:], sum(n * w for n, _, w in mine) / sum(n for n, _, _ in mine), atol=1e-5)
+
+
+def test_learners_do_not_name_rare_words():
+    """Only scores need the words outside the head by name; both get the same numbers and contexts."""
+    ids = {b"a": 0, b"b": 1, maxent.END: 2}
+    for text in (None, b"", b"A x b", b"x y a z b y"):
+        named, plain = list(maxent.coded(text, ids, 3)), list(maxent.coded(text, ids, 3, named=False))
+        assert [(c.tolist(), last) for c, last, _ in named] == [(c.tolist(), last) for c, last, _ in plain]
+        assert [w for _, _, some in named for w in some] == [w for w in (text or b"").lower().split() if w not in ids]
+        assert all(some == [] for _, _, some in plain)
