@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featlake.session import drop, settle
+from featlake.session import dealt, drop, settle
 
 CELLS = 1 << 21  # of one model in one task
 RATE = 0.1  # weight of every tree but the first
@@ -293,7 +293,7 @@ def boosted_models(ests: list[Estimator], train: DataFrame, fold: str, folds: li
     features, depth, most = len(found[0]), ests[0].getMaxDepth(), ests[0].getMaxIter()
     width = 1 + max((len(c) for cuts in found for c in cuts), default=0)
     rows = known.select(vector_to_array(ests[0].getFeaturesCol()).alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
-    state = settle(cells(rows, found, folds * len(ests), gain is not None, logistic))
+    state = settle(cells(dealt(rows), found, folds * len(ests), gain is not None, logistic))
     models = list(range(len(found)))
 
     def grow(some: list[int], total: Callable, advance: Callable) -> dict[int, Trees]:

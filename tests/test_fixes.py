@@ -134,3 +134,24 @@ def test_folder_that_only_one_machine_sees(spark, monkeypatch):
         monkeypatch.setattr(session, "_LOST", set())
         monkeypatch.setattr(session, "_is_shared", lambda spark, folder: folder.startswith(house))
         assert not session.shared_folder(spark).startswith(named) and session.shared_folder(spark) == f"{house}/featlake"
+
+
+def test_rows_of_one_file_are_dealt_over_the_cores(spark):
+    from featlake import session
+
+    one = session.settle(spark.range(100_000).coalesce(1))
+    assert session.busy(one) == 1 and session.dealt(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.dealt(one, 200_000).rdd.getNumPartitions() == one.rdd.getNumPartitions() and session.dealt(one).count() == 100_000
+    session.drop(one)
+    with pytest.raises(Exception):
+        one.count()
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """A table in one partition leaves cores free, so no fold waits for another's fit."""
+    import threading
+
+    meet, fit = threading.Barrier(3, timeout=60), LinearRegression.fit
+    monkeypatch.setattr(LinearRegression, "fit", lambda self, *a: (meet.wait(), fit(self, *a))[1])
+    df = spark.createDataFrame([(i, i % 3, float(i), 0.01 * i) for i in range(60)], "i int, fold int, x double, label double").coalesce(1)
+    assert oof_predict(LinearRegression(), assemble_features(df, ["x"], ["i", "fold", "label"]), "fold").count() == 60

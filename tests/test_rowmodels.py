@@ -128,3 +128,15 @@ def test_trees_without_targets(spark):
     assert none.where("prediction is not null").count() == 0 and none.count() == 30
     flat = extratrees.extra_trees_oof(df.withColumn("y", F.lit(0.5)).withColumn("x0", F.lit(None).cast("double")), "doc", ["x0", "x1"], "y", "fold", trees=2, depth=3)
     assert {r.prediction for r in flat.collect()} == {0.5}
+
+
+def test_models_are_parted_over_tasks(spark, monkeypatch):
+    """Rows in one partition are read by a task for each group of models, with the same sums."""
+    _, _, _, df = sample(spark, 200, 2, 4)
+    made, passed = [], extratrees._passed
+    monkeypatch.setattr(extratrees, "_passed", lambda rows, fn, groups, *a: (made.append(groups), passed(rows, fn, groups, *a))[1])
+    got = values(extratrees.extra_trees_oof(df.coalesce(1), "doc", ["x0", "x1"], "y", "fold", trees=4, depth=3), "prediction")
+    monkeypatch.setattr(extratrees, "busy", lambda rows: 1000)
+    monkeypatch.setattr(extratrees, "_passed", lambda rows, fn, groups, *a: (made.append(groups), passed(rows, fn, 1, *a))[1])
+    assert (values(extratrees.extra_trees_oof(df.coalesce(1), "doc", ["x0", "x1"], "y", "fold", trees=4, depth=3), "prediction") == got).all()
+    assert set(made[:7]) == {4} and set(made[7:]) == {1} and len(made) == 14  # two passes a level, one for the last
