@@ -92,6 +92,21 @@ def test_nmf_groups_do_not_mix(spark):
         assert both[k] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("shape", [(9, 6), (5, 8)])
+def test_nmf_packed_equals_joins(spark, monkeypatch, shape):
+    """Rounds without joins of cells give the same factors, whichever side is the smaller one."""
+    m = RNG.random(shape)
+    m[m < 0.3] = 0
+    cells = _cells(m, spark).withColumn("g", F.lit("x")).unionByName(_cells(m.T @ m, spark).withColumn("g", F.lit("y")))
+    made, step = [], FA._nmf_step
+    monkeypatch.setattr(FA, "_nmf_step", lambda *a: (made.append(1), step(*a))[1])
+    got = {(r.g, r.r): r.nmf for r in FA.nmf(cells, "r", "c", "v", 2, iters=4, by="g").collect()}
+    assert not made
+    monkeypatch.setattr(FA, "DENSE", 0)
+    want = {(r.g, r.r): r.nmf for r in FA.nmf(cells, "r", "c", "v", 2, iters=4, by="g").collect()}
+    assert made and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want)
+
+
 def test_svd_matches_numpy(spark):
     m = np.abs(RNG.normal(size=(15, 9)))
     rows = {r.r: r.svd for r in FA.svd_embed(_cells(m, spark), "r", "c", "v", 3, iters=12).collect()}
