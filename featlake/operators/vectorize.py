@@ -109,7 +109,11 @@ def hash_vectors(df: DataFrame, doc: str, text: str, buckets: int, binary: bool
 
 
 def drop_rare(vecs: DataFrame, min_docs: int, column: str = "bucket") -> DataFrame:
-    """Keep the columns that are set in more than ``min_docs`` documents."""
+    """Keep the columns that are set in more than ``min_docs`` documents.
+
+    The vectors are settled, as they are read twice: to count the columns and to keep their cells.
+    """
+    vecs = settle(vecs)
     kept = vecs.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_docs).select(column)
     return vecs.join(settle(kept), column, "left_semi")
 
