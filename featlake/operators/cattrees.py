@@ -1,7 +1,8 @@
 """Regression trees on categories (J4): any number of values, no one-hot columns and no bins.
 
 In a node the values of a column are ordered by their smoothed mean target; for squared error the best way to part them in two is a cut in the order
-of means, so prefix sums over the order score all cuts. A level of all fold models is a few aggregates and joins.
+of means, so prefix sums over the order score all cuts. A level of all fold models is a few aggregates and joins over the combinations of values,
+with the number and the sum of the targets of their rows; the rows themselves are met before the first level and after the last.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from featlake.functions.numeric import clip
 from featlake.operators.oof import fold_numbers
 from featlake.operators.quantiles import prefix_sums
-from featlake.session import settle
+from featlake.session import drop, settle
 
 
 def best_cuts(counts: DataFrame) -> DataFrame:
@@ -38,25 +39,26 @@ def category_tree_oof(df: DataFrame, doc: str, cols: list[str], y: str, fold: st
     A value's mean is drawn to its node's by ``smooth`` rows, which only matters for the order. Missing values are a value of their own. Rows without a target are only
     predicted; without any row to learn from the prediction is null.
     """
+    cs = [f"c{i}" for i in range(len(cols))]
     rows = settle(df.select(F.col(doc).alias("d"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"),
                             *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"c{i}") for i, c in enumerate(cols)]))
     folds = fold_numbers(rows.where("y is not null"), "fold")
     if not folds:
         return df.withColumn(out, F.lit(None).cast("double"))
-    learn = F.coalesce((F.col("fold") != F.col("m")) & F.col("y").isNotNull(), F.lit(False))
-    now = rows.withColumn("m", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumn("learn", learn)
+    cells = rows.groupBy("fold", *cs).agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("s"))
+    learn = F.coalesce((F.col("fold") != F.col("m")) & (F.col("n") > 0), F.lit(False))
+    now = cells.withColumn("m", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumn("learn", learn)
     own = F.col("learn") | F.col("fold").isNull() | (F.col("fold") == F.col("m"))
     now = settle(now.where(own).withColumns({"node": F.lit(0), "value": F.lit(None).cast("double")}))
-    value_of = F.element_at(F.array(*[F.col(f"c{i}") for i in range(len(cols))]), F.col("f") + 1)
+    value_of = F.element_at(F.array(*[F.col(c) for c in cs]), F.col("f") + 1)
     for level in range(depth + 1):
-        known = now.where("learn")
-        mean = settle(known.groupBy("m", "node").agg(F.avg("y").alias("mean")))
-        now = now.join(mean, ["m", "node"], "left").withColumn("value", F.coalesce("mean", "value")).drop("mean")
+        mean = settle(now.where("learn").groupBy("m", "node").agg((F.sum("s") / F.sum("n")).alias("mean")))
+        before, now = now, settle(now.join(mean, ["m", "node"], "left").withColumn("value", F.coalesce("mean", "value")).drop("mean"))
+        drop(before)
         if level == depth:
             break
-        now = settle(now)
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"c{i}").alias("v")) for i in range(len(cols))]))
-        counts = known.select("m", "node", "y", each.alias("e")).groupBy("m", "node", "e.f", "e.v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(cs)]))
+        counts = now.where("learn").select("m", "node", "n", "s", each.alias("e")).groupBy("m", "node", "e.f", "e.v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         order = F.struct(F.round((F.col("s") + smooth * F.col("mean")) / (F.col("n") + smooth), 9).alias("t"), "v")
         counts = settle(counts.join(mean, ["m", "node"]).select("m", "node", "f", order.alias("o"), "n", "s"))
         cuts = settle(best_cuts(counts))
@@ -66,6 +68,11 @@ def category_tree_oof(df: DataFrame, doc: str, cols: list[str], y: str, fold: st
         moved = now.join(cuts.select("m", "node", "f", "heavy"), ["m", "node"], "left").withColumn("at", value_of).join(sides, ["m", "node", "at"], "left")
         to = F.when(F.col("f").isNotNull(), F.col("node") * 2 + 1 + F.coalesce("right", "heavy")).otherwise(F.col("node"))
         # a node that is not split keeps its number, which no other node of a later level has
-        now = settle(moved.withColumn("node", to).select("d", "y", "fold", *[f"c{i}" for i in range(len(cols))], "m", "learn", "node", "value"))
-    got = now.where("not learn").groupBy("d").agg(F.avg(clip(F.col("value"), *bounds) if bounds else F.col("value")).alias(out))
+        before, now = now, settle(moved.withColumn("node", to).select("fold", *cs, "n", "s", "m", "learn", "node", "value"))
+        for old in (before, mean, counts, cuts, sides):
+            drop(old)
+    own = clip(F.col("value"), *bounds) if bounds else F.col("value")
+    guess = settle(now.where("not learn").groupBy(F.col("fold").alias("_fold"), *cs).agg(F.sum(own).alias("total"), F.count(own).alias("models")))
+    got = (rows.join(guess, [*[rows[c] == guess[c] for c in cs], rows["fold"].eqNullSafe(guess["_fold"])])
+           .groupBy("d").agg(F.try_divide(F.sum("total"), F.sum("models")).alias(out)))
     return df.join(got, F.col(doc) == F.col("d"), "left").drop("d")

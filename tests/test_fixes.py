@@ -155,3 +155,32 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(LinearRegression, "fit", lambda self, *a: (meet.wait(), fit(self, *a))[1])
     df = spark.createDataFrame([(i, i % 3, float(i), 0.01 * i) for i in range(60)], "i int, fold int, x double, label double").coalesce(1)
     assert oof_predict(LinearRegression(), assemble_features(df, ["x"], ["i", "fold", "label"]), "fold").count() == 60
+
+
+def test_category_trees_keep_counts_of_values(spark, monkeypatch):
+    """What a level writes grows with the combinations of values, not with the rows."""
+    from featlake.operators import cattrees
+
+    made, settle = [], cattrees.settle
+    monkeypatch.setattr(cattrees, "settle", lambda df: (made.append(settle(df)), made[-1])[1])
+    seen, drop = [], cattrees.drop
+    monkeypatch.setattr(cattrees, "drop", lambda df: (seen.append(df.count()), drop(df))[1])
+    df = spark.createDataFrame([(i, i % 3, float(i % 2 + i % 5 == 3), "ab"[i % 2], "xyz"[i % 5 % 3]) for i in range(600)], "i int, fold int, y double, k1 string, k2 string")
+    got = cattrees.category_tree_oof(df, "i", ["k1", "k2"], "y", "fold", depth=2)
+    assert got.where("prediction is null").count() == 0 and got.count() == 600 and max(seen) <= 6 * 3 * 3
+
+
+def test_predictions_meet_in_one_shuffle(spark, tmp_path):
+    for m, v in (("a", [0.25, None]), ("b", [0.5, 0.75])):
+        spark.createDataFrame([("1", v[0]), ("2", v[1])], "id string, p double").write.option("header", True).option("compression", "gzip").csv(str(tmp_path / m))
+    df = read_predictions(spark, f"{tmp_path}/*", "id", "p", ["a", "b", "c"])
+    assert sorted(tuple(r) for r in df.collect()) == [("1", 0.25, 0.5, None), ("2", None, 0.75, None)]
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_terms_are_hashed_once(spark):
+    from featlake.operators.vectorize import drop_rare, hash_vectors
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a")], "doc int, text string")
+    kept = drop_rare(hash_vectors(docs, "doc", "text", 64), 1)
+    assert kept.count() == 3 and "md5" not in kept._jdf.queryExecution().analyzed().toString()
